@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from .mixing import op6_pivotal_mix
+from .quality_rules import op5_compression_bands
+from .simhash import op3_simhash_bktree
 
 QUERIES = {
+    "op3_simhash_bktree": op3_simhash_bktree,
+    "op5_compression_bands": op5_compression_bands,
     "op6_pivotal_mix": op6_pivotal_mix,
 }
 ORACLE_SQL: dict[str, str] = {}
