@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .embedding_dedup import op1_pca_tiles
 from .mixing import op6_pivotal_mix
 from .quality_rules import op5_compression_bands
 from .simhash import op3_simhash_bktree
 
 QUERIES = {
+    "op1_pca_tiles": op1_pca_tiles,
     "op3_simhash_bktree": op3_simhash_bktree,
     "op5_compression_bands": op5_compression_bands,
     "op6_pivotal_mix": op6_pivotal_mix,
