@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from .embedding_dedup import op1_pca_tiles
 from .mixing import op6_pivotal_mix
+from .packing import op10_nnls_packing
 from .quality_rules import op5_compression_bands
 from .simhash import op3_simhash_bktree
+from .token_files import op8_wavelet_tokens
 
 QUERIES = {
+    "op8_wavelet_tokens": op8_wavelet_tokens,
+    "op10_nnls_packing": op10_nnls_packing,
     "op1_pca_tiles": op1_pca_tiles,
     "op3_simhash_bktree": op3_simhash_bktree,
     "op5_compression_bands": op5_compression_bands,
