@@ -56,8 +56,14 @@ class BKForest:
         order = np.argsort(keys, kind="stable")
         self.keys, self.kids = keys[order], kids[order]
 
-    def within(self, queries: np.ndarray, shard: np.ndarray, radius: int, step: int = 4096):
-        """Yield (query index, node index) arrays of all pairs within ``radius``, following edges d - radius to d + radius only."""
+    def within(self, queries: np.ndarray, shard: np.ndarray, radius: int, visits: int = 1 << 19):
+        """Yield (query index, node index) arrays of all pairs within ``radius``, following edges d - radius to d + radius only.
+
+        So many queries walk at once that together they cannot stand on more than about ``visits`` nodes: in a shard of
+        near copies every query visits every node.
+        """
+        largest = int(np.unique(shard, return_counts=True)[1].max(initial=1))
+        step = max(1, min(4096, visits // largest))
         for lo in range(0, len(queries), step):
             q = np.arange(lo, min(lo + step, len(queries)))
             node = np.array([self.roots[s] for s in shard[q].tolist()], np.int64)
