@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .archives import OP2_SQL, op2_warc_zip
 from .embedding_dedup import op1_pca_tiles
 from .mixing import op6_pivotal_mix
 from .packing import op10_nnls_packing
@@ -10,6 +11,7 @@ from .simhash import op3_simhash_bktree
 from .token_files import op8_wavelet_tokens
 
 QUERIES = {
+    "op2_warc_zip": op2_warc_zip,
     "op8_wavelet_tokens": op8_wavelet_tokens,
     "op10_nnls_packing": op10_nnls_packing,
     "op1_pca_tiles": op1_pca_tiles,
@@ -17,4 +19,6 @@ QUERIES = {
     "op5_compression_bands": op5_compression_bands,
     "op6_pivotal_mix": op6_pivotal_mix,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc_zip": OP2_SQL,
+}
