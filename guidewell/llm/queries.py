@@ -9,8 +9,10 @@ from .packing import op10_nnls_packing
 from .quality_rules import op5_compression_bands
 from .simhash import op3_simhash_bktree
 from .token_files import op8_wavelet_tokens
+from .toxicity import op4_blockmax_toxicity
 
 QUERIES = {
+    "op4_blockmax_toxicity": op4_blockmax_toxicity,
     "op2_warc_zip": op2_warc_zip,
     "op8_wavelet_tokens": op8_wavelet_tokens,
     "op10_nnls_packing": op10_nnls_packing,
