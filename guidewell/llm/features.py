@@ -56,3 +56,21 @@ def examples(docs: DataFrame, labels: DataFrame, label: str, per_class: int, fol
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), F.col("doc_id") == F.col("ex_id"))
     # copies of one text are one example: they would pass for independent evidence
     return found.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.min("y").alias("y")).select("doc_id", "text", "y"), totals
+
+
+def logit(p):
+    p = np.clip(p, 1e-4, 1 - 1e-4)
+    return np.log(p / (1 - p))
+
+
+def logistic_line(votes: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 25) -> tuple[float, float]:
+    """Slope and offset, on the logit scale, of the likeliest line from votes to labels, held near slope 1; (1, 0) for one class."""
+    if len(set(y.tolist())) < 2:
+        return 1.0, 0.0
+    w, line = weight / weight.mean(), np.array([1.0, 0.0])
+    design = np.stack([logit(votes), np.ones(len(y))], axis=1)
+    for _ in range(rounds):  # Newton's steps
+        p = 1 / (1 + np.exp(-design @ line))
+        gradient = design.T @ (w * (y - p)) - 0.1 * (line - [1.0, 0.0])
+        line = line + np.linalg.solve(design.T @ (design * (w * p * (1 - p))[:, None]) + 0.1 * np.eye(2), gradient).clip(-1, 1)
+    return (float(line[0]), float(line[1])) if np.isfinite(line).all() and line[0] > 0 else (1.0, 0.0)

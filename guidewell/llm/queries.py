@@ -6,12 +6,14 @@ from .archives import OP2_SQL, op2_warc_zip
 from .embedding_dedup import op1_pca_tiles
 from .mixing import op6_pivotal_mix
 from .packing import op10_nnls_packing
+from .quality_classifier import op9_lsa_quality
 from .quality_rules import op5_compression_bands
 from .simhash import op3_simhash_bktree
 from .token_files import op8_wavelet_tokens
 from .toxicity import op4_blockmax_toxicity
 
 QUERIES = {
+    "op9_lsa_quality": op9_lsa_quality,
     "op4_blockmax_toxicity": op4_blockmax_toxicity,
     "op2_warc_zip": op2_warc_zip,
     "op8_wavelet_tokens": op8_wavelet_tokens,

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_fold, cut, table
-from .features import coded, examples, owners
+from .features import coded, examples, logistic_line, logit, owners
 
 #: Stripped from either end of a word.
 MARKS = ".,;:!?\"'()[]{}<>*_-…“”‘’«»"
@@ -60,11 +60,6 @@ class BlockMaxIndex:
         return ids[order], sims[order]
 
 
-def _logit(p):
-    p = np.clip(p, 1e-4, 1 - 1e-4)
-    return np.log(p / (1 - p))
-
-
 class ToxicityModel:
     """What scoring needs: terms, their idf, the index, labels and class weights of at most 2 * per_class examples."""
 
@@ -82,23 +77,15 @@ class ToxicityModel:
         self.seen: dict[bytes, tuple] = {}
         self.line = self._calibrate(vectors)
 
-    def _calibrate(self, vectors, most: int = 2048, rounds: int = 25) -> tuple[float, float]:
+    def _calibrate(self, vectors, most: int = 2048) -> tuple[float, float]:
         """Slope and offset of a logistic line from votes to labels, fitted on examples (``most`` at most, evenly taken) whose own vote is left out."""
         votes, y = [], []
         own = [i for i, (t, _) in enumerate(vectors) if len(t)]
         for i in own[:: len(own) // most + 1]:
             votes.append(self._vote(*vectors[i], i))
             y.append(self.y[i])
-        if len(set(y)) < 2:
-            return 1.0, 0.0
-        x, y = _logit(np.array(votes)), np.array(y)
-        w, line = self.class_weight[y] / self.class_weight[y].mean(), np.array([1.0, 0.0])
-        design = np.stack([x, np.ones_like(x)], axis=1)
-        for _ in range(rounds):  # Newton's steps towards the most likely line, held near slope 1
-            p = 1 / (1 + np.exp(-design @ line))
-            gradient = design.T @ (w * (y - p)) - 0.1 * (line - [1.0, 0.0])
-            line = line + np.linalg.solve(design.T @ (design * (w * p * (1 - p))[:, None]) + 0.1 * np.eye(2), gradient).clip(-1, 1)
-        return (float(line[0]), float(line[1])) if np.isfinite(line).all() and line[0] > 0 else (1.0, 0.0)
+        y = np.array(y)
+        return logistic_line(np.array(votes), y, self.class_weight[y])
 
     def _vote(self, terms: np.ndarray, weights: np.ndarray, leave: int = -1) -> float:
         ids, sims = self.index.nearest(terms, weights, self.k + (leave >= 0))
@@ -121,14 +108,14 @@ class ToxicityModel:
         key = terms.tobytes() + weights.tobytes()
         if key not in self.seen:
             ids, sims = self.index.nearest(terms, weights, self.k)
-            score = float(1 / (1 + np.exp(-(self.line[0] * _logit(self._share(ids, sims)) + self.line[1]))))
+            score = float(1 / (1 + np.exp(-(self.line[0] * logit(self._share(ids, sims)) + self.line[1]))))
             if len(self.seen) > 20_000:
                 self.seen.clear()
             self.seen[key] = score, int(score >= 0.5), [(int(self.ids[i]), float(s), int(self.y[i])) for i, s in zip(ids[:3], sims[:3], strict=True)]
         return self.seen[key]
 
 
-def _terms_of(words: list[str]) -> list[str]:
+def terms_of(words) -> list[str]:
     return [w.strip(MARKS) for w in words]
 
 
@@ -141,7 +128,7 @@ def term_counts(docs: DataFrame, terms: list[str], keep: str) -> DataFrame:
     def of(batches):
         for batch in batches:
             for lo, hi, words, codes, starts in coded(batch.column(batch.schema.get_field_index("text")), "utf8"):
-                at = np.array([number.get(t, -1) for t in _terms_of(words)] or [0], np.int64)[codes] if len(codes) else codes
+                at = np.array([number.get(t, -1) for t in terms_of(words)] or [0], np.int64)[codes] if len(codes) else codes
                 hit = at >= 0
                 pair, n = np.unique(owners(starts)[hit] * len(number) + at[hit], return_counts=True) if hit.any() else (np.zeros(0, np.int64), np.zeros(0, np.int64))
                 ends = np.searchsorted(pair, np.arange(hi - lo + 1) * len(number)).astype(np.int32)
@@ -161,7 +148,7 @@ def choose_terms(sample: DataFrame, max_terms: int, min_docs: int, min_z: float)
         for batch in batches:
             y = batch.column(1).to_numpy()
             for lo, hi, words, codes, starts in coded(batch.column(0), "utf8"):
-                terms, back = np.unique(np.array(_terms_of(words), object), return_inverse=True) if words else ([], None)
+                terms, back = np.unique(np.array(terms_of(words), object), return_inverse=True) if words else ([], None)
                 if not len(codes):
                     continue
                 pair = np.unique(owners(starts) * len(terms) + back[codes])
