@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .archives import OP2_SQL, op2_warc_zip
 from .embedding_dedup import op1_pca_tiles
+from .language_model import op7_elias_fano_lm
 from .mixing import op6_pivotal_mix
 from .packing import op10_nnls_packing
 from .quality_classifier import op9_lsa_quality
@@ -13,6 +14,7 @@ from .token_files import op8_wavelet_tokens
 from .toxicity import op4_blockmax_toxicity
 
 QUERIES = {
+    "op7_elias_fano_lm": op7_elias_fano_lm,
     "op9_lsa_quality": op9_lsa_quality,
     "op4_blockmax_toxicity": op4_blockmax_toxicity,
     "op2_warc_zip": op2_warc_zip,
