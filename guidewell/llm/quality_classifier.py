@@ -160,7 +160,7 @@ class QualityModel:
 def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = 2048, max_shapes: int = 384, max_words: int = 256, dims: int = 48, k: int = 24, power: float = 8.0, threshold: float = 0.3, folds: int = 5) -> DataFrame:
     """doc_id, held_out and SCHEMA per row of ``docs`` (doc_id, text), from ``labels`` (doc_id, quality) of training rows alone.
 
-    Terms of a text: outlines of its words, words whose frequency differs between the classes, and steps of how much of it
+    Terms of a text: outlines of its words, words that tell texts of low quality, and steps of how much of it
     repeats, shouts or is marks. Weights by inverse document frequency over all of ``docs``; whole texts become sparse
     rows once, and are written. Examples: at most ``per_class`` labelled training rows of either class, by hash of the id
     (with ``dims`` the bound of what is broadcast); the latent directions are their leading singular vectors. Each
@@ -174,7 +174,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = 2048, max
 
     sample, totals = examples(docs, labels, "quality", per_class, folds)
     sample = cut(sample, "quality-examples")
-    shapes, words = common_shapes(sample, max_shapes), choose_terms(sample, max_words, 3, 5.0)
+    shapes, words = common_shapes(sample, max_shapes), choose_terms(sample.withColumn("y", 1 - F.col("y")), max_words, 3, 5.0)
     size = len(shapes) + len(words) + len(STATS) * len(STEPS) + len(LENGTHS)
     rows = cut(raw_features(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id long", shapes, words), "quality-terms")
     found = {r["t"]: r["count"] for r in rows.select(F.explode("terms").alias("t")).groupBy("t").count().collect()}  # at most ``size`` rows

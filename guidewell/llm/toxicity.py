@@ -139,8 +139,35 @@ def term_counts(docs: DataFrame, terms: list[str], keep: str) -> DataFrame:
     return docs.select("text", *[c.split()[0] for c in keep.split(", ")]).mapInArrow(of, f"{keep}, terms array<int>, counts array<int>")
 
 
-def choose_terms(sample: DataFrame, max_terms: int, min_docs: int, min_z: float) -> list[str]:
-    """Terms of the examples whose document frequencies differ between the classes by ``min_z`` standard errors or more."""
+def cover_terms(rows: list[np.ndarray], y: np.ndarray, n_terms: int, most: int, min_docs: int, min_z: float, cover: int) -> list[int]:
+    """Terms in turn by how much they tell label 1 from label 0, until none differs by ``min_z`` standard errors.
+
+    An example of label 1 that ``cover`` chosen terms name is left out of later counts. So near copies of one text, whose
+    every word looks telling, lend a few terms and not all of theirs.
+    """
+    ex = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    term = np.concatenate(rows) if len(rows) else np.zeros(0, np.int64)
+    n0 = np.bincount(term[y[ex] == 0], minlength=n_terms)
+    a, named, chosen, free = max(1, int((y == 0).sum())), np.zeros(len(rows), int), [], np.ones(n_terms, bool)
+    while len(chosen) < most:
+        live = (y == 1) & (named < cover)
+        b = int(live.sum())
+        if not b:
+            break
+        n1 = np.bincount(term[live[ex]], minlength=n_terms)
+        p = (n0 + n1) / (a + b)
+        z = np.where(free & (n1 >= min_docs), (n1 / b - n0 / a) / np.sqrt(p * (1 - p) * (1 / a + 1 / b) + 1e-12), -np.inf)
+        t = int(np.argmax(z))
+        if z[t] < min_z:
+            break
+        chosen.append(t)
+        free[t] = False
+        named[np.unique(ex[term == t])] += 1
+    return chosen
+
+
+def choose_terms(sample: DataFrame, max_terms: int, min_docs: int, min_z: float, cover: int = 3, candidates: int = 2048) -> list[str]:
+    """At most ``max_terms`` terms that tell the examples of label 1, from the ``candidates`` most telling ones; see cover_terms."""
     import pyarrow as pa
 
     def of(batches):
@@ -164,8 +191,11 @@ def choose_terms(sample: DataFrame, max_terms: int, min_docs: int, min_z: float)
         return []
     df = sample.select("text", "y").mapInArrow(of, "term string, n0 long, n1 long").where("term <> ''").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     p = (F.col("n0") + F.col("n1")) / (a + b)
-    z = F.abs(F.col("n1") / b - F.col("n0") / a) / F.sqrt(p * (1 - p) * (1 / a + 1 / b) + 1e-12)
-    return [r["term"] for r in df.where((F.col("n0") + F.col("n1")) >= min_docs).withColumn("z", z).where(F.col("z") >= min_z).orderBy(F.desc("z"), "term").limit(max_terms).collect()]
+    z = (F.col("n1") / b - F.col("n0") / a) / F.sqrt(p * (1 - p) * (1 / a + 1 / b) + 1e-12)
+    telling = [r["term"] for r in df.where(F.col("n1") >= min_docs).withColumn("z", z).where(F.col("z") >= min_z).orderBy(F.desc("z"), "term").limit(candidates).collect()]
+    rows = term_counts(sample, telling, "doc_id long, y int").orderBy("doc_id", "y").select("terms", "y").collect()
+    chosen = cover_terms([np.asarray(r["terms"], np.int64) for r in rows], np.array([r["y"] for r in rows], np.int64), len(telling), max_terms, min_docs, min_z, cover)
+    return [telling[t] for t in chosen]
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 4096, max_terms: int = 256, min_docs: int = 3, min_z: float = 5.0, k: int = 32, power: float = 2.0, folds: int = 5) -> DataFrame:
@@ -173,7 +203,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 4096, ma
 
     Examples: at most ``per_class`` labelled training rows of either class, by hash of the id (the bound of what is
     broadcast, with ``max_terms`` terms); their votes are weighted back to the classes' true shares. Vocabulary: terms
-    whose frequency differs between the classes' examples. Inverse document frequencies are counted over all of
+    that tell label 1 among the examples (cover_terms). Inverse document frequencies are counted over all of
     ``docs``, in the pass that turns whole texts into term counts, which are written once. A document's score is the
     share of label 1 among its ``k`` nearest examples by cosine, weighted by cosine ** ``power`` and shrunk towards the
     share of all, on the logistic line that fits the examples' labels when each is left out of its own vote; evidence
