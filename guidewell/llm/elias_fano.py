@@ -6,7 +6,7 @@ import numpy as np
 
 U = np.uint64
 #: Positions of zeros are kept for every so many buckets.
-SAMPLE = 64
+SAMPLE = 4
 
 
 def pack_bits(values: np.ndarray, width: int) -> np.ndarray:
@@ -46,34 +46,34 @@ def encode(values: np.ndarray) -> dict:
     raw = np.zeros((size + 63) // 64 * 64 + 128, bool)
     raw[ones] = True
     zeros = np.flatnonzero(~raw[:size])
-    return {"base": base, "n": n, "low_bits": low, "buckets": buckets, "low": pack_bits(values & U((1 << low) - 1), low), "high": np.packbits(raw, bitorder="little").view(U), "zeros": zeros[::SAMPLE].astype(np.int64)}
+    return {"base": base, "n": n, "low_bits": low, "buckets": buckets, "low": pack_bits(values & U((1 << low) - 1), low), "high": np.packbits(raw, bitorder="little").view(U), "zeros": zeros[::SAMPLE].astype(np.uint32 if size < 1 << 32 else np.int64)}
 
 
 class EliasFano:
     def __init__(self, base: int, n: int, low_bits: int, buckets: int, low: np.ndarray, high: np.ndarray, zeros: np.ndarray):
         self.base, self.n, self.low_bits, self.buckets, self.low, self.high, self.zeros = base, n, low_bits, buckets, low, high, zeros
 
+    def _next_zero(self, at: np.ndarray) -> np.ndarray:
+        """Position of the first zero at or after each position."""
+        out = at.copy()
+        todo = np.arange(len(at))
+        while len(todo):
+            p = out[todo]
+            rest = ~self.high[p >> 6] >> (p & 63).astype(U)
+            found = rest != 0
+            step = np.bitwise_count((rest & (~rest + U(1))) - U(1)).astype(np.int64)
+            out[todo] = np.where(found, p + step, ((p >> 6) + 1) << 6)
+            todo = todo[~found]
+        return out
+
     def _zero(self, k: np.ndarray) -> np.ndarray:
-        """Position of the k-th (from 0) zero among the high bits: from its sample, word by word, then by halves."""
-        at = np.asarray(self.zeros[k // SAMPLE])
-        left = (k % SAMPLE).astype(np.int64)
-        word, bit = at >> 6, (at & 63).astype(U)
-        rest = ~self.high[word] & ~((U(1) << bit) - U(1))  # zeros of the word from the sample on
-        todo = np.arange(len(k))
-        count = np.bitwise_count(rest).astype(np.int64)
-        while len(todo := todo[left[todo] >= count[todo]]):
-            left[todo] -= count[todo]
-            word[todo] += 1
-            rest[todo] = ~self.high[word[todo]]
-            count[todo] = np.bitwise_count(rest[todo])
-        bit = np.zeros(len(k), np.int64)
-        for half in (32, 16, 8, 4, 2, 1):
-            c = np.bitwise_count(rest & U((1 << half) - 1)).astype(np.int64)
-            go = left >= c
-            left -= np.where(go, c, 0)
-            bit += np.where(go, half, 0)
-            rest = np.where(go, rest >> U(half), rest)
-        return (word << 6) + bit
+        """Position of the k-th (from 0) zero among the high bits: its sample, then zero by zero."""
+        at = self.zeros[k // SAMPLE].astype(np.int64)
+        left = k % SAMPLE
+        for step in range(1, SAMPLE):
+            own = np.flatnonzero(left >= step)
+            at[own] = self._next_zero(at[own] + 1)
+        return at
 
     def find(self, values: np.ndarray) -> np.ndarray:
         """Index of each value, -1 where it is not there: its successor is sought by halves, in its bucket only."""

@@ -44,7 +44,7 @@ def map_arrays(uri: str) -> tuple[dict[str, np.ndarray], dict]:
 
     fs, path = file_system(uri)
     if isinstance(fs, afs.LocalFileSystem):
-        data = np.memmap(path, np.uint8, "r")
+        data = np.memmap(path, np.uint8, "r").view(np.ndarray)
     else:
         with fs.open_input_file(path) as file:
             data = np.frombuffer(file.read(), np.uint8)
@@ -130,9 +130,8 @@ class Vocabulary:
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        part = _part(hashes, self.parts)
-        order = np.argsort(part, kind="stable")
-        ends = np.searchsorted(part[order], np.arange(self.parts + 1))
+        order = np.argsort(hashes)  # neighbours in the files are looked up together
+        ends = np.searchsorted(_part(hashes[order], self.parts), np.arange(self.parts + 1))
         for p in np.flatnonzero(np.diff(ends)).tolist():
             own = order[ends[p] : ends[p + 1]]
             k = self.levels[p].find(hashes[own])
@@ -169,33 +168,43 @@ class Model:
         self.files = [map_arrays(p) for p in paths]
         self.two = [_level(a, h, "two") for a, h in self.files]
         self.three = [_level(a, h, "three") for a, h in self.files]
-        self.hot_backoff = hot_backoff
+        self.books = [tuple(10.0 ** a[f"{n}_book"] for n in ("two", "back", "three")) for a, _ in self.files]
+        self.hot_words = np.array(sorted(hot_backoff), np.int64)
+        self.hot_values = np.array([hot_backoff[w] for w in sorted(hot_backoff)])
 
     def followers(self, w1: np.ndarray, w2: np.ndarray, w3: np.ndarray | None = None):
-        """log10 of the discounted P(w2 | w1) (-inf where not kept), of what (w1, w2) hands to shorter contexts (0 where not kept), and of the discounted P(w3 | w1 w2)."""
+        """The discounted P(w2 | w1) (0 where not kept), what (w1, w2) hands to shorter contexts (1 where not kept), and the discounted P(w3 | w1 w2).
+
+        Queries go to each part in order of their keys, so neighbours in the file are looked up together.
+        """
         n, width = len(w1), U(self.layout.width)
-        p2, back, p3 = np.full(n, -np.inf), np.zeros(n), np.full(n, -np.inf)
-        part = self.layout.part(w1, w2)
-        order = np.argsort(part.astype(np.uint16) if self.layout.parts <= 65536 else part, kind="stable")
-        ends = np.searchsorted(part[order], np.arange(self.layout.parts + 1))
+        p2, back, p3 = np.zeros(n), np.ones(n), np.zeros(n)
+        keys = w1.astype(U) * width + w2.astype(U)
+        order = np.argsort(keys)
+        part = self.layout.part(w1, w2)[order]
+        again = np.argsort(part.astype(np.uint16) if self.layout.parts <= 65536 else part, kind="stable")
+        order, part = order[again], part[again]
+        ends = np.searchsorted(part, np.arange(self.layout.parts + 1))
         for p in np.flatnonzero(np.diff(ends)).tolist():
-            arrays, _ = self.files[p]
+            arrays, books = self.files[p][0], self.books[p]
             own = order[ends[p] : ends[p + 1]]
-            k = self.two[p].find(w1[own].astype(U) * width + w2[own].astype(U))
+            k = self.two[p].find(keys[own])
             own, k = own[k >= 0], k[k >= 0]
-            p2[own] = arrays["two_book"][arrays["two_code"][k]]
-            back[own] = arrays["back_book"][arrays["back_code"][k]]
+            p2[own] = books[0][arrays["two_code"][k]]
+            back[own] = books[1][arrays["back_code"][k]]
             if w3 is not None and len(own):
                 j = self.three[p].find(k.astype(U) * width + w3[own].astype(U))
-                p3[own[j >= 0]] = arrays["three_book"][arrays["three_code"][j[j >= 0]]]
+                p3[own[j >= 0]] = books[2][arrays["three_code"][j[j >= 0]]]
         return p2, back, p3
 
     def backoff(self, w1: np.ndarray) -> np.ndarray:
-        """log10 of what each single-word context hands to the unigrams: kept under the pad, of frequent words in a small table."""
+        """What each single-word context hands to the unigrams: kept under the pad, of frequent words in a small table."""
         out = self.followers(w1, np.full(len(w1), self.layout.pad))[0]
-        out[np.isinf(out)] = 0.0
-        for w, value in self.hot_backoff.items():
-            out[w1 == w] = value
+        out[out == 0] = 1.0
+        if len(self.hot_words):
+            at = np.minimum(np.searchsorted(self.hot_words, w1), len(self.hot_words) - 1)
+            own = self.hot_words[at] == w1
+            out[own] = self.hot_values[at[own]]
         return out
 
 
@@ -429,7 +438,7 @@ def train_and_score(docs: DataFrame, folds: int = 10, keep: int = 2, discount: f
         for r in found:
             for w, m in zip(r["hot"], r["mass"], strict=True):
                 mass[w] = mass.get(w, 0.0) + m
-        back = {w: float(np.log10(np.clip(1 - m, 1e-9, 1))) for w, m in mass.items() if m > 0}
+        back = {w: float(np.clip(1 - m, 1e-9, 1)) for w, m in mass.items() if m > 0}
     open_model = lambda: _opened(f"grams|{base}", lambda: Model(open_vocabulary(), layout, grams, back))
     unknown = np.log10(alpha / (tokens + alpha * (size + 1)))
 
@@ -448,24 +457,26 @@ def train_and_score(docs: DataFrame, folds: int = 10, keep: int = 2, discount: f
                     k = len(words)
                     ids = np.concatenate([ids, end[0], [layout.start, layout.pad]])
                     c = np.concatenate([c, end[1], [0, 0]])
-                    one = np.log10((c + alpha) / (tokens + alpha * (size + 1)))
-                    hand = np.where(ids >= 0, model.backoff(ids), 0.0)
+                    chance = (c + alpha) / (tokens + alpha * (size + 1))
+                    one = np.log10(chance)
+                    hand = np.where(ids >= 0, model.backoff(ids), 1.0)
                     stream, first = _stream(codes, starts, k + 1, k, k + 2)
                     token = np.ones(len(stream), bool)
                     token[first - 1] = token[first + n] = False
                     at = np.flatnonzero(token)
                     last, this = stream[at - 1], stream[at]
                     later = stream[at + 1]  # the pad after an end, which no context keeps
-                    known = (ids[last] >= 0) & (ids[this] >= 0)
-                    p2, lent, p3 = np.full(len(at), -np.inf), np.zeros(len(at)), np.full(len(at), -np.inf)
+                    # a kept pair needs words seen often enough, and a context that hands on less than all
+                    often = (ids >= 0) & (c >= keep)
+                    known = (hand[last] != 1.0) & often[this]
+                    p2, lent, p3 = np.zeros(len(at)), np.ones(len(at)), np.zeros(len(at))
                     own = np.flatnonzero(known)
-                    third = np.where(ids[later[own]] >= 0, ids[later[own]], layout.pad)
+                    third = np.where(often[later[own]], ids[later[own]], layout.pad)
                     p2[own], lent[own], p3[own] = model.followers(ids[last[own]], ids[this[own]], third)
-                    with np.errstate(divide="ignore"):
-                        p = 10.0**p2 + 10.0 ** (hand[last] + one[this])
-                        # the pair before a token is that of the token before it in its text
-                        follow = np.flatnonzero(last != k + 1)
-                        p[follow] = 10.0 ** p3[follow - 1] + 10.0 ** lent[follow - 1] * p[follow]
+                    p = p2 + hand[last] * chance[this]
+                    # the pair before a token is that of the token before it in its text
+                    follow = np.flatnonzero(last != k + 1)
+                    p[follow] = p3[follow - 1] + lent[follow - 1] * p[follow]
                     text = np.repeat(np.arange(hi - lo), n)
                     total = lambda x: np.bincount(text, weights=x, minlength=hi - lo)  # noqa: B023,E731
                     made = [n, total(c[this] > 0).astype(np.int64), np.full(hi - lo, tokens), total(one[this]), total(np.log10(p))]
