@@ -100,8 +100,13 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
 
     keys = ["source", "bin", "block"]
     unit = F.struct("size", "doc_id", "rid", "p")
-    spread = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("rid")), F.col("blocks"))
-    level = rows.where("fractional").withColumn("block", spread).groupBy(*keys).agg(F.array_sort(F.collect_list(unit)).alias("units"))
+    by_id = F.coalesce("doc_id", F.col("rid"))  # the same blocks however the table is split
+    live = rows.where("fractional")
+    spread = F.pmod(F.xxhash64(F.lit(seed), by_id, F.col("size")), F.col("blocks"))
+    fullest = live.withColumn("block", spread).groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if fullest > 16 * block:  # one id on very many rows: they are told apart by where they stand
+        spread = F.pmod(F.xxhash64(F.lit(seed), by_id, F.col("rid")), F.col("blocks"))
+    level = live.withColumn("block", spread).groupBy(*keys).agg(F.array_sort(F.collect_list(unit)).alias("units"))
     level = cut(_pivot(level, seed), "pivot")
     levels = [level]
     left = lambda t: t.where("acc.cur is not null").select(*[k for k in keys if k in t.columns], F.col("acc.cur").alias("unit"))

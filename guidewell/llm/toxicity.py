@@ -84,7 +84,7 @@ class ToxicityModel:
         for i in own[:: len(own) // most + 1]:
             votes.append(self._vote(*vectors[i], i))
             y.append(self.y[i])
-        y = np.array(y)
+        y = np.array(y, np.int64)
         return logistic_line(np.array(votes), y, self.class_weight[y])
 
     def _vote(self, terms: np.ndarray, weights: np.ndarray, leave: int = -1) -> float:
