@@ -76,13 +76,15 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     exact to one and words nearly so, and no task sees more than a block, however large a source is.
 
     Returns doc_id, size, source_size, target, copies and taken (size * copies) per row; with ``carry``, the columns of
-    ``docs`` and copies. Nulls: a null text has size 0, null sources are one source (the last), null ids are allowed.
+    ``docs`` and copies, of rows taken at least once. Nulls: a null text has size 0, null sources are one source (the last), null ids are allowed.
     Documents of size 0 are taken with the whole part only (0 words either way). Repeated rows are decided one by one.
     An empty table gives no rows. Other columns are ignored unless carried. Draws depend on ids and sizes alone.
     """
     given = docs.columns
-    sized = docs.withColumns({"__size": word_count(), "__rid": F.monotonically_increasing_id()})
-    if not carry:
+    # rows are told apart by their ids where those are unique; else by numbers, for which the whole rows are written once
+    unique = carry and docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty()
+    sized = docs.withColumns({"__size": word_count(), "__rid": F.col("doc_id").cast("long") if unique else F.monotonically_increasing_id()})
+    if unique or not carry:
         sized = sized.select("doc_id", "source", "__size", "__rid")
     sized = cut(sized, "sized")
     rows = sized.select(F.col("__rid").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "source", F.col("__size").alias("size"))
@@ -124,8 +126,10 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     drawn = last.where("acc.cur is not null").select(F.col("acc.cur.rid").alias("rid"), (_unit_interval(seed - 1, F.col("acc.cur.doc_id"), F.col("acc.cur.size")) < F.col("acc.cur.p")).cast("int").alias("up"))
     ups = done.unionByName(drawn).where("up = 1").select(F.col("rid").alias("up_rid"))
     rows = rows.join(ups, F.col("rid") == F.col("up_rid"), "left").withColumn("copies", F.col("whole") + F.when(F.col("up_rid").isNotNull(), 1).otherwise(0))
+    if unique:
+        return docs.join(rows.where("copies > 0").select(F.col("rid").alias("__rid"), "copies"), F.col("doc_id") == F.col("__rid")).select(*given, "copies")
     if carry:
-        return sized.join(rows.select(F.col("rid").alias("__rid"), "copies"), "__rid").select(*given, "copies")
+        return sized.join(rows.where("copies > 0").select(F.col("rid").alias("__rid"), "copies"), "__rid").select(*given, "copies")
     return rows.select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 

@@ -212,7 +212,9 @@ def test_mixing(spark):
     assert out.drop_duplicates("doc_id", keep=False).sort_values("doc_id")[key].reset_index(drop=True).equals(again.drop_duplicates("doc_id", keep=False).sort_values("doc_id")[key].reset_index(drop=True))
     assert mixing.mix_sources(frame.where("false")).count() == 0
     carried = mixing.mix_sources(frame, carry=True)
-    assert carried.columns == [*frame.columns, "copies"] and carried.count() == len(rows)
+    assert carried.columns == [*frame.columns, "copies"] and carried.count() == (out.copies > 0).sum()
+    unique = mixing.mix_sources(frame.where("doc_id is not null").dropDuplicates(["doc_id"]), carry=True)
+    assert unique.columns == carried.columns and 0 < unique.count() <= 3000 and unique.where("copies not in (1, 2)").isEmpty()
 
 
 def test_targets_fill_caps_first(spark):
