@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from hashlib import blake2b
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +14,8 @@ from .features import coded, examples, logistic_line, logit, owners
 
 #: Stripped from either end of a word.
 MARKS = ".,;:!?\"'()[]{}<>*_-…“”‘’«»"
+#: What is not a letter or digit at either end of a word.
+ENDS = re.compile(r"^[\W_]+|[\W_]+$")
 SCHEMA = "score double, predicted int, evidence array<struct<doc_id:bigint,similarity:double,label:int>>"
 
 
@@ -19,52 +24,63 @@ class BlockMaxIndex:
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = 64):
         """``rows``: terms and weights (of length 1 together) of each example."""
-        self.n, self.block = len(rows), block
+        self.n, self.block, self.n_blocks = len(rows), block, len(rows) // block + 1
         ex = np.repeat(np.arange(self.n), [len(t) for t, _ in rows]).astype(np.int64)
         term = np.concatenate([t for t, _ in rows]) if rows else np.zeros(0, np.int64)
         weight = np.concatenate([w for _, w in rows]) if rows else np.zeros(0)
         order = np.lexsort((ex, term))
-        self.ex, self.weight, term = ex[order], weight[order], term[order]
+        ex, self.weight, term = ex[order], weight[order], term[order]
         self.start = np.searchsorted(term, np.arange(n_terms + 1))
-        code = term * (self.n // block + 1) + self.ex // block
-        first = np.flatnonzero(np.diff(code, prepend=-1))
+        first = np.flatnonzero(np.diff(term * self.n_blocks + ex // block, prepend=-1))
         self.best = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
-        self.at, self.stop = first, np.append(first[1:], len(code))
-        self.blocks, block_term = self.ex[first] // block, term[first]
-        self.block_start = np.searchsorted(block_term, np.arange(n_terms + 1))
+        self.at = np.append(first, len(ex)).astype(np.int32)
+        self.blocks = (ex[first] // block).astype(np.int32)
+        self.block_start = np.searchsorted(term[first], np.arange(n_terms + 1))
+        self.ex = ex.astype(np.int32)
+
+    def _sums(self, at, n: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Cosines of all examples over postings ``at`` (places, or slices), ``n`` of them in turn with the query weight ``w``; terms add up in one order."""
+        if isinstance(at, np.ndarray):
+            ex, weight = self.ex[at], self.weight[at]
+        else:
+            ex, weight = np.concatenate([self.ex[s] for s in at]), np.concatenate([self.weight[s] for s in at])
+        return np.bincount(ex, weights=np.repeat(w, n) * weight, minlength=self.n)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine above 0, ties by example; exact: a block is left out only if its bound is below the k-th best."""
-        spans = [np.arange(self.block_start[t], self.block_start[t + 1]) for t in terms.tolist()]
-        entry, w = np.concatenate(spans), np.repeat(weights, [len(x) for x in spans])
-        block = self.blocks[entry]
-        bound = np.bincount(block, weights=w * self.best[entry], minlength=1)
+        a, b = self.block_start[terms], self.block_start[terms + 1]
+        if not (b > a).any():
+            return np.zeros(0, np.int64), np.zeros(0)
+        entry = np.repeat(a - np.concatenate(([0], np.cumsum(b - a)[:-1])), b - a) + np.arange((b - a).sum())
+        block, w = self.blocks[entry], np.repeat(weights, b - a)
+        bound = np.bincount(block, weights=w * self.best[entry], minlength=self.n_blocks)
         order = np.argsort(-bound, kind="stable")[: np.count_nonzero(bound)]
-        ids, sims, done, step = np.zeros(0, np.int64), np.zeros(0), 0, 4
-        chosen = np.zeros(len(bound), bool)
-        while done < len(order) and not (len(ids) >= k and bound[order[done]] < sims.min() - 1e-12):
-            now = order[done : done + step]
-            done, step = done + len(now), step * 2
-            chosen[:] = False
-            chosen[now] = True
-            own = np.flatnonzero(chosen[block])
-            a, n = self.at[entry[own]], self.stop[entry[own]] - self.at[entry[own]]
-            at = np.repeat(a - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-            hit, back = np.unique(self.ex[at], return_inverse=True)
-            score = np.bincount(back, weights=np.repeat(w[own], n) * self.weight[at])
-            ids, sims = np.concatenate([ids, hit]), np.concatenate([sims, score])
-            if len(ids) > k:
-                keep = np.lexsort((ids, -sims))[:k]
-                ids, sims = ids[keep], sims[keep]
-        order = np.lexsort((ids, -sims))
-        return ids[order], sims[order]
+        chosen = np.zeros(self.n_blocks, bool)
+        chosen[order[:4]] = True
+        while True:
+            if 2 * np.count_nonzero(chosen) > len(order):  # most blocks: whole lists are read faster than their parts
+                spans = [slice(x, y) for x, y in zip(self.start[terms].tolist(), self.start[terms + 1].tolist(), strict=True)]
+                sums = self._sums(spans, self.start[terms + 1] - self.start[terms], weights)
+                break
+            own = entry[chosen[block]]
+            n = (self.at[own + 1] - self.at[own]).astype(np.int64)
+            sums = self._sums(np.repeat(self.at[own] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()), n, w[chosen[block]])
+            least = np.partition(sums, -k)[-k] if self.n >= k else 0.0
+            more = (bound > 0) & (bound >= least - 1e-12) & ~chosen
+            if not more.any():
+                break
+            chosen |= more
+        least = np.partition(sums, -k)[-k] if self.n > k else 0.0
+        ids = np.flatnonzero((sums > 0) & (sums >= least))
+        ids = ids[np.lexsort((ids, -sums[ids]))[:k]]
+        return ids, sums[ids]
 
 
 class ToxicityModel:
-    """What scoring needs: terms, their idf, the index, labels and class weights of at most 2 * per_class examples."""
+    """What scoring needs: terms, their weights, the index, labels and class weights of at most 2 * per_class examples."""
 
     def __init__(self, terms, idf, ids, y, rows, totals, k, power):
-        self.terms, self.idf, self.ids, self.y, self.k, self.power = terms, idf, ids, y, k, power
+        self.number, self.idf, self.ids, self.y, self.k, self.power = {t: i for i, t in enumerate(terms)}, idf, ids, y, k, power
         n = np.array([max(1, int((y == c).sum())) for c in (0, 1)])
         self.class_weight = np.array([totals.get(0, 0), totals.get(1, 0)]) / n  # examples stand for all labelled rows of their class
         vectors = [self.vector(t, f) for t, f in rows]
@@ -105,7 +121,7 @@ class ToxicityModel:
         terms, weights = self.vector(terms, counts)
         if not len(terms):
             return self.blank, int(self.blank >= 0.5), []
-        key = terms.tobytes() + weights.tobytes()
+        key = blake2b(terms.tobytes() + weights.tobytes(), digest_size=16).digest()
         if key not in self.seen:
             ids, sims = self.index.nearest(terms, weights, self.k)
             score = float(1 / (1 + np.exp(-(self.line[0] * logit(self._share(ids, sims)) + self.line[1]))))
@@ -119,6 +135,83 @@ def terms_of(words) -> list[str]:
     return [w.strip(MARKS) for w in words]
 
 
+def bare(words) -> list[str]:
+    """Words without the punctuation and symbols at their ends."""
+    return [w if w[:1].isalnum() and w[-1:].isalnum() else ENDS.sub("", w) for w in words]
+
+
+def counted(texts, number: dict[str, int]):
+    """Yield (lo, hi, terms, counts, ends) for slices of a text column: each text's distinct terms of a vocabulary, ascending, and how often it has them."""
+    for lo, hi, words, codes, starts in coded(texts, "utf8"):
+        at = np.array([number.get(t, -1) for t in bare(words)] or [0], np.int64)[codes]
+        hit = at >= 0
+        pair, n = np.unique(owners(starts)[hit] * len(number) + at[hit], return_counts=True)
+        yield lo, hi, pair % max(1, len(number)), n, np.searchsorted(pair, np.arange(hi - lo + 1) * len(number))
+
+
+def example_terms(sample: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Every term of the examples, in order, with the number of examples of label 0 and of label 1 that have it."""
+    import pyarrow as pa
+
+    def of(batches):
+        for batch in batches:
+            y = batch.column(1).to_numpy()
+            for lo, hi, words, codes, starts in coded(batch.column(0), "utf8"):
+                if not len(codes):
+                    continue
+                terms, back = np.unique(np.array(bare(words), object), return_inverse=True)
+                pair = np.unique(owners(starts) * len(terms) + back[codes])
+                n = [np.bincount(pair[y[lo:hi][pair // len(terms)] == c] % len(terms), minlength=len(terms)) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(terms.tolist(), pa.string()), *[pa.array(x, pa.int64()) for x in n]], ["term", "n0", "n1"])
+
+    df = sample.select("text", "y").mapInArrow(of, "term string, n0 long, n1 long").where("term <> ''").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    found = df.toArrow().sort_by("term")
+    return found["term"].to_pylist(), np.stack([found[c].to_numpy() for c in ("n0", "n1")])
+
+
+def telling(n: np.ndarray, a: int, b: int, floor: float, full_z: float) -> np.ndarray:
+    """Factor of each term's weight, ``floor`` to ``floor`` + 1: by the standard errors (``full_z`` of them for all) that part label 1 from label 0."""
+    if not a or not b:
+        return np.ones(n.shape[1])
+    p = n.sum(axis=0) / (a + b)
+    z = (n[1] / b - n[0] / a) / np.sqrt(p * (1 - p) * (1 / a + 1 / b) + 1e-12)
+    return floor + np.clip(z / full_z, 0, 1) ** 2
+
+
+def document_frequencies(docs: DataFrame, number: dict[str, int]) -> tuple[int, np.ndarray]:
+    """The number of rows, and of rows that have each term of a vocabulary; each task sends its sums once."""
+    import pyarrow as pa
+
+    def of(batches):
+        total, rows = np.zeros(len(number), np.int64), 0
+        for batch in batches:
+            rows += batch.num_rows
+            for _, _, terms, _, _ in counted(batch.column(0), number):
+                total += np.bincount(terms, minlength=len(number))
+        t = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(t, -1), pa.int32()), pa.array(np.append(total[t], rows), pa.int64())], ["t", "n"])
+
+    found = docs.select("text").mapInArrow(of, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    t, n, out = found["t"].to_numpy(), found["n"].to_numpy(), np.zeros(len(number), np.int64)
+    out[t[t >= 0]] = n[t >= 0]
+    return int(n[t < 0].sum()), out
+
+
+def example_counts(sample: DataFrame, number: dict[str, int]) -> tuple[np.ndarray, np.ndarray, list]:
+    """Ids, labels, and terms with counts of the examples, by id."""
+    import pyarrow as pa
+
+    def of(batches):
+        for batch in batches:
+            for lo, hi, terms, n, ends in counted(batch.column(2), number):
+                lists = [pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(x, pa.int32())) for x in (terms, n)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *lists], ["doc_id", "y", "terms", "counts"])
+
+    found = sample.select("doc_id", "y", "text").mapInArrow(of, "doc_id long, y int, terms array<int>, counts array<int>").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")]).combine_chunks()
+    rows = [(t.values.to_numpy().astype(np.int64), c.values.to_numpy().astype(np.float64)) for t, c in zip(found["terms"], found["counts"], strict=True)]
+    return found["doc_id"].to_numpy().astype(np.int64), found["y"].to_numpy().astype(np.int64), rows
+
+
 def term_counts(docs: DataFrame, terms: list[str], keep: str) -> DataFrame:
     """``docs`` columns in ``keep`` with terms array<int> and counts array<int> over a given vocabulary, of whole lower-cased texts."""
     import pyarrow as pa
@@ -149,7 +242,7 @@ def cover_terms(rows: list[np.ndarray], y: np.ndarray, n_terms: int, most: int,
     term = np.concatenate(rows) if len(rows) else np.zeros(0, np.int64)
     n0 = np.bincount(term[y[ex] == 0], minlength=n_terms)
     a, named, chosen, free = max(1, int((y == 0).sum())), np.zeros(len(rows), int), [], np.ones(n_terms, bool)
-    while len(chosen) < most:
+    while len(chosen) < min(most, n_terms):
         live = (y == 1) & (named < cover)
         b = int(live.sum())
         if not b:
@@ -198,42 +291,42 @@ def choose_terms(sample: DataFrame, max_terms: int, min_docs: int, min_z: float,
     return [telling[t] for t in chosen]
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 4096, max_terms: int = 256, min_docs: int = 3, min_z: float = 5.0, k: int = 32, power: float = 2.0, folds: int = 5) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 4096, floor: float = 0.02, full_z: float = 5.0, k: int = 32, power: float = 2.0, folds: int = 5) -> DataFrame:
     """doc_id, held_out and SCHEMA per row of ``docs`` (doc_id, text), from ``labels`` (doc_id, toxic) of training rows alone.
 
     Examples: at most ``per_class`` labelled training rows of either class, by hash of the id (the bound of what is
-    broadcast, with ``max_terms`` terms); their votes are weighted back to the classes' true shares. Vocabulary: terms
-    that tell label 1 among the examples (cover_terms). Inverse document frequencies are counted over all of
-    ``docs``, in the pass that turns whole texts into term counts, which are written once. A document's score is the
-    share of label 1 among its ``k`` nearest examples by cosine, weighted by cosine ** ``power`` and shrunk towards the
-    share of all, on the logistic line that fits the examples' labels when each is left out of its own vote; evidence
-    names the three nearest.
-
-    Null and empty texts, and texts without a term of the vocabulary: the share of label 1 among examples without one.
+    broadcast); their votes are weighted back to the classes' true shares. Vocabulary: every term of the examples. A
+    term weighs (1 + ln count) * idf, times a factor that rises from ``floor`` with how much it tells label 1 (telling);
+    no term has weight 0. Inverse document frequencies are counted over all of ``docs``, in a pass of their own over whole
+    texts. A document's score is the share of label 1 among its ``k`` nearest examples by cosine, weighted by
+    cosine ** ``power`` and shrunk towards the share of all, on the logistic line that fits the examples' labels when each
+    is left out of its own vote; evidence names the three nearest.
+
+    Null and empty texts, and texts without a term of any example: the share of label 1 among examples without one.
     Null ids: held_out is null. Repeated rows get equal scores. No labels at all: 0.1 for every row. An empty table gives
     no rows. Other columns, among them lang, source and labels in ``docs``, are never read.
     """
-    import pandas as pd
+    import pyarrow as pa
 
     sample, totals = examples(docs, labels, "toxic", per_class, folds)
     sample = cut(sample, "toxicity-examples")
-    terms = choose_terms(sample, max_terms, min_docs, min_z)
-    counted = cut(term_counts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), terms, "doc_id long"), "toxicity-terms")
-    found = {r["t"]: r["count"] for r in counted.select(F.explode("terms").alias("t")).groupBy("t").count().collect()}  # at most max_terms rows
-    n = counted.count()
-    idf = np.array([np.log((1 + n) / (1 + found.get(t, 0))) + 1 for t in range(len(terms))])
-    rows = term_counts(sample, terms, "doc_id long, y int").orderBy("doc_id", "y").collect()
-    vectors = [(np.array(r["terms"], np.int64), np.array(r["counts"], np.float64)) for r in rows]
-    model = ToxicityModel(terms, idf, np.array([r["doc_id"] for r in rows], np.int64), np.array([r["y"] for r in rows], np.int64), vectors, totals, k, power)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    terms, found = example_terms(sample)
+    number = {t: i for i, t in enumerate(terms)}
+    ids, y, rows = example_counts(sample, number)
+    n, df = document_frequencies(docs, number)
+    weight = (np.log((1 + n) / (1 + df)) + 1) * telling(found, int((y == 0).sum()), int((y == 1).sum()), floor, full_z)
+    sent = docs.sparkSession.sparkContext.broadcast(ToxicityModel(terms, weight, ids, y, rows, totals, k, power))
+    evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())]))
 
     def of(batches):
         own = sent.value
-        for pdf in batches:
-            made = [own.score(np.asarray(t, np.int64), np.asarray(c, np.float64)) for t, c in zip(pdf["terms"], pdf["counts"], strict=True)]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": [m[0] for m in made], "predicted": [m[1] for m in made], "evidence": [[{"doc_id": d, "similarity": s, "label": y} for d, s, y in m[2]] for m in made]})
+        for batch in batches:
+            for lo, hi, t, c, ends in counted(batch.column(1), own.number):
+                made = [own.score(t[a:b], c[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                near = [[{"doc_id": d, "similarity": s, "label": y} for d, s, y in m[2]] for m in made]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([m[0] for m in made], pa.float64()), pa.array([m[1] for m in made], pa.int32()), pa.array(near, evidence)], ["doc_id", "score", "predicted", "evidence"])
 
-    scored = counted.mapInPandas(of, f"doc_id long, {SCHEMA}")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of, f"doc_id long, {SCHEMA}")
     return scored.select("doc_id", (crc_fold("doc_id", folds) == 0).alias("held_out"), "score", "predicted", "evidence")
 
 

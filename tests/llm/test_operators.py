@@ -156,6 +156,17 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.score_toxicity(frame, labels.where("false")).count() == len(out)
 
 
+def test_toxicity_holds_every_term_of_few_examples(spark):
+    bad = ["vile", "filth", "scum"]
+    rows = [(i, text(i, 60) + (f" {bad[i // 8 % 3]}###" if i % 8 == 0 else "")) for i in range(80)] + [(100, "alpha1 beta2 gamma3"), (101, "scum$$$ " + text(7, 60))]
+    frame = docs(spark, rows).drop("score", "kept")
+    labels = spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(80)], "doc_id long, toxic int")
+    out = toxicity.score_toxicity(frame, labels).toPandas().set_index("doc_id")
+    assert all(len(e) == 3 for e in out.evidence)  # every text with a term of an example is searched
+    toxic = out.index[(out.index < 80) & (out.index % 8 == 0)]
+    assert out.loc[toxic].score.min() > out.drop(toxic).drop(101).score.max() and out.loc[101].score > out.drop(toxic).drop(101).score.max()
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(0)
     rows = [(np.unique(rng.integers(0, 60, 8)), None) for _ in range(700)]
