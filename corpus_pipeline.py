@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from guidewell.llm.common import cut, table
+from guidewell.llm.components import components
 from guidewell.llm.mixing import mix_sources
+from guidewell.llm.near_copies import near_copies
 from guidewell.llm.packing import digest, pack_documents, tokenizer_path
 from guidewell.llm.quality_rules import quality_rules
 from guidewell.llm.simhash import simhash_components
@@ -26,10 +28,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints, the document with the least id stays; of repeated ids one row stays, the least by its other columns;
+    """Of each group of near copies (Jaccard similarity of five-word shingles of 0.8 or more, or op3's link between
+    fingerprints), joined by links, the document with the least id stays; of repeated ids one row stays, the least by its other columns;
     documents without an id link with nothing and stay."""
-    found = simhash_components(docs.select("doc_id", "text"))
-    first = cut(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__n")).withColumnRenamed("doc_id", "__id"), "kept-ids")
+    found = cut(simhash_components(docs.select("doc_id", "text")).select(F.col("doc_id").alias("u"), F.col("component_id").alias("v")), "fingerprint-links")
+    gone = components(found.where("u <> v").unionByName(near_copies(docs.select("doc_id", "text")))).select("node")
+    first = cut(found.where("u is not null").join(gone, F.col("u") == F.col("node"), "left_anti").select(F.col("u").alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("__n")).withColumnRenamed("doc_id", "__id"), "kept-ids")
     kept = docs.join(first, F.col("doc_id") == F.col("__id")).drop("__id")
     if first.where("__n > 1").isEmpty():
         kept = kept.drop("__n")

@@ -26,3 +26,27 @@ def test_stages(spark):
     for _, stage in corpus_pipeline.STAGES:
         none = stage(spark, none, SF)
         assert none.isEmpty()
+
+
+def test_near_copies_leave_one(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    rows, grams = [], {}
+    for i in range(0, 120, 4):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 60 + 4 * i)]
+        for j, share in enumerate((0, 0.004, 0.02, 0.2)):  # words replaced
+            own = list(words)
+            for at in rng.choice(len(own), max(int(j > 0), int(share * len(own))), replace=False):
+                own[at] = f"x{i}-{j}-{at}"
+            rows.append((i + j, " ".join(own)))
+            grams[i + j] = {tuple(own[k : k + 5]) for k in range(len(own) - 4)}
+    near = {i: {j for j in grams if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j])} for i in grams}
+    kept = set()
+    for i in sorted(grams):
+        group, todo = {i}, [i]
+        while todo:
+            todo = [j for k in todo for j in near[k] if j not in group and not group.add(j)]
+        kept.add(min(group))
+    out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert len(kept) < 100 and {r["doc_id"] for r in out.collect()} == kept
