@@ -64,10 +64,14 @@ def _level(arrays: dict, head: dict, name: str) -> EliasFano:
 
 
 def quantised(log10p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One byte each, and the code book of at most 256 values: evenly filled bins, each by its mean."""
+    """One byte each, and the code book of at most 256 values: the values themselves, or bins, each by its mean; half of
+    the limits fill bins evenly, half part the distinct values evenly, for most entries may share a few values."""
     if not len(log10p):
         return np.zeros(0, np.uint8), np.zeros(1)
-    edges = np.unique(np.quantile(log10p, np.linspace(0, 1, 257)[1:-1]))
+    distinct = np.unique(log10p)
+    if len(distinct) <= 256:
+        return np.searchsorted(distinct, log10p).astype(np.uint8), distinct
+    edges = np.unique(np.concatenate([np.quantile(x, np.linspace(0, 1, 128)[1:-1]) for x in (log10p, distinct)]))
     code = np.searchsorted(edges, log10p)
     n = np.bincount(code, minlength=len(edges) + 1)
     return code.astype(np.uint8), np.bincount(code, weights=log10p, minlength=len(edges) + 1) / np.maximum(n, 1)
@@ -487,4 +491,4 @@ def train_and_score(docs: DataFrame, folds: int = 10, keep: int = 2, discount: f
 
 
 def op7_elias_fano_lm(spark, sf_dir: str) -> DataFrame:
-    return train_and_score(table(spark, sf_dir, "documents"))
+    return train_and_score(table(spark, sf_dir, "documents"), keep=1)  # every pair and every triple

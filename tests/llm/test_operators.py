@@ -290,6 +290,22 @@ def test_language_model_equals_plain_counts(spark):
     assert language_model.train_and_score(frame.where("doc_id is null")).first().n_known == 0
 
 
+def test_language_model_query_keeps_what_is_seen_once(spark, tmp_path):
+    held = [i for i in range(40) if zlib.crc32(str(i).encode()) % 10 == 0]
+    rows = [(i, "p q r") if i in held else (i, f"p{i} q{i}" + (" p q r" if i == min(set(range(40)) - set(held)) else "")) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = language_model.op7_elias_fano_lm(spark, str(tmp_path)).toPandas().set_index("doc_id")
+    n = sum(len(t.split()) + 1 for i, t in rows if i not in held)
+    v, trained, d = len({w for i, t in rows if i not in held for w in t.split()}) + 1, 40 - len(held), 0.75
+    one = lambda c: (c + 0.1) / (n + 0.1 * (v + 1))
+    # after the start nothing is kept of (start, p), but each training text's first word is
+    first = (1 - trained * (1 - d) / trained) * one(1)
+    q = (1 - d) + d * one(1)  # q after p, seen once; no triple (start, p, q)
+    r = (1 - d) + d * ((1 - d) + d * one(1))  # r after p q and after q
+    end = (1 - d) + d * ((1 - d) + d * one(trained))
+    assert out.loc[held[0]].score == pytest.approx(sum(map(math.log10, (first, q, r, end))), abs=1e-6)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2**64 - 1), unique=True, max_size=200), st.lists(st.integers(0, 2**64 - 1), max_size=50), st.integers(0, 63))
 def test_elias_fano(values, others, shift):
