@@ -14,7 +14,7 @@ REMEMBERED = 700_000
 #: Text is handled in slices of about so many bytes, so memory does not depend on the batch.
 SLICE_BYTES = 6 << 20
 #: Marks at the end of a word; both vocabularies cut between a letter and these.
-_TAIL = re.compile(r"[.,;:!?]+$")
+_TAIL = re.compile(r"[.,;:!?]+\Z")
 #: A space that follows white space: there the cut before a space is no cut of the tokenizer.
 _RUN = r"[\s\x0b\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
 _GAP = re.compile(r"(?<=\S) ")
@@ -72,6 +72,11 @@ class Encoder:
         self.known: dict[str, int] = {}
         self.ids = _Ids()
 
+    def _letters(self, stem: str) -> bool:
+        """Whether the tokenizer sees letters alone in the stem, its leading space aside; İ, say, lower-cases to a letter and a mark."""
+        word = stem[1:] if self.spaces and stem[:1] == " " else stem
+        return word.isalpha() and (self.spaces or word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+
     def _number(self, pieces: list[str]) -> np.ndarray:
         """The number of each piece: encoded now if it is new. A piece is a stem and a tail; -1 for no tail."""
         known, new, lower = self.known, [], not self.spaces
@@ -79,7 +84,7 @@ class Encoder:
         out[:, 1] = -1
         for k, piece in enumerate(pieces):
             n = known.get(piece)
-            if n is None and not piece.isalpha() and (m := _TAIL.search(piece)) and (stem := piece[: m.start()]) and (stem[1:] if self.spaces and stem[0] == " " else stem).isalpha():
+            if n is None and not piece.isalpha() and (m := _TAIL.search(piece)) and self._letters(stem := piece[: m.start()]):
                 t = known.get(tail := m[0])
                 if t is None:
                     t = known[tail] = len(known)
@@ -87,7 +92,7 @@ class Encoder:
                 out[k, 1] = t
                 piece = stem
                 n = known.get(piece)
-            if n is None and lower and piece.isascii() and not piece.islower():
+            if n is None and lower and piece.isascii() and piece.isalpha() and not piece.islower():
                 piece = piece.lower()
                 n = known.get(piece)
             if n is None:

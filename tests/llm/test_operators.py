@@ -318,7 +318,7 @@ def test_elias_fano(values, others, shift):
 
 # op8, op10 ---------------------------------------------------------------------------------------------------------
 
-ODD = ["", "  a  b ", "a\nb c.\n\nd  e", "x<|endoftext|>y z", "it's 's don't, 'tis.", "Ünïcode Σίσυφος ΣΑΣ. İstanbul", "é áb ́c", "tab\tx \ty", "12 3,4 $$$ a.b, c!?", "日本語 テキスト。", "a \x1c b", "\x85a b", "a\xa0 \xa0b", " lead", "trail ", "a \n b", " \n", "'s. 'll, a'LL b'S."]
+ODD = ["", "  a  b ", "a\nb c.\n\nd  e", "x<|endoftext|>y z", "it's 's don't, 'tis.", "Ünïcode Σίσυφος ΣΑΣ. İstanbul", "é áb ́c", "tab\tx \ty", "12 3,4 $$$ a.b, c!?", "日本語 テキスト。", "a \x1c b", "\x85a b", "a\xa0 \xa0b", " lead", "trail ", "a \n b", " \n", "'s. 'll, a'LL b'S.", "Hello world.\n", "x.\t", "<|ENDOFTEXT|> a<|EndOfText|>.", "<|endoftext|>.\n", "TARİHİ. İ, iİ!", "end.\u2003 \u3000x."]
 
 
 @settings(max_examples=40, deadline=None)
@@ -330,6 +330,15 @@ def test_ids_are_those_of_whole_texts(texts):
         assert np.split(ids, np.cumsum(n))[: len(texts)] == [] if not texts else [x.tolist() for x in np.split(ids, np.cumsum(n))[: len(texts)]] == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_ids_of_every_letter_before_a_mark():
+    texts = [t for c in map(chr, [*range(0xD800), *range(0xE000, 0x10000)]) for t in (f"a {c}b. {c}!\n", f"A{c}B; x")]
+    for path, spaces in ((token_files.tokenizer_path(), False), (packing.tokenizer_path(), True)):
+        e = tokens.Encoder(path, spaces)
+        ids, n = e.encode(texts)
+        want = [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert n.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+
+
 def whole_ids(frame, path, end):
     from tokenizers import Tokenizer
 
