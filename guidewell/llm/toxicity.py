@@ -20,14 +20,34 @@ SCHEMA = "score double, predicted int, evidence array<struct<doc_id:bigint,simil
 
 
 class BlockMaxIndex:
-    """Inverted index over example vectors in blocks of ids, each with the largest weight a term has in it."""
+    """Inverted index over example vectors in blocks of ids, each with the largest weight a term has in it.
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = 64):
+    The few terms that very many examples have stand in a dense table instead: of a batch of queries their part of all
+    cosines is one matrix product in single precision, whose error (at most ``slack``) widens the bounds; what may be among
+    the nearest is computed again in double precision.
+    """
+
+    slack = 2e-5
+    #: Lists that together hold at most so many postings an example are read whole, without bounds.
+    short = 24
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = 64, most_dense: int = 256, dense_share: float = 0.125):
         """``rows``: terms and weights (of length 1 together) of each example."""
         self.n, self.block, self.n_blocks = len(rows), block, len(rows) // block + 1
         ex = np.repeat(np.arange(self.n), [len(t) for t, _ in rows]).astype(np.int64)
         term = np.concatenate([t for t, _ in rows]) if rows else np.zeros(0, np.int64)
         weight = np.concatenate([w for _, w in rows]) if rows else np.zeros(0)
+        often = np.bincount(term, minlength=n_terms)
+        dense = np.argsort(-often, kind="stable")[:most_dense]
+        dense = np.sort(dense[often[dense] > dense_share * self.n])
+        self.column = np.full(n_terms, -1, np.int32)
+        self.column[dense] = np.arange(len(dense))
+        own = self.column[term] >= 0
+        self.table = np.zeros((self.n, len(dense)))
+        self.table[ex[own], self.column[term[own]]] = weight[own]
+        self.coarse = np.zeros((len(dense), self.n_blocks * block), np.float32)
+        self.coarse[:, : self.n] = self.table.T
+        ex, weight, term = ex[~own], weight[~own], term[~own]
         order = np.lexsort((ex, term))
         ex, self.weight, term = ex[order], weight[order], term[order]
         self.start = np.searchsorted(term, np.arange(n_terms + 1))
@@ -39,52 +59,87 @@ class BlockMaxIndex:
         self.ex = ex.astype(np.int32)
 
     def _sums(self, at, n: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Cosines of all examples over postings ``at`` (places, or slices), ``n`` of them in turn with the query weight ``w``; terms add up in one order."""
+        """Parts of the cosines of all examples over postings ``at`` (places, or slices), ``n`` of them in turn with the query weight ``w``; terms add up in one order."""
         if isinstance(at, np.ndarray):
             ex, weight = self.ex[at], self.weight[at]
-        else:
+        elif at:
             ex, weight = np.concatenate([self.ex[s] for s in at]), np.concatenate([self.weight[s] for s in at])
+        else:
+            ex, weight = self.ex[:0], self.weight[:0]
         return np.bincount(ex, weights=np.repeat(w, n) * weight, minlength=self.n)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine above 0, ties by example; exact: a block is left out only if its bound is below the k-th best."""
+        return self.nearest_of([(terms, weights)], k)[0]
+
+    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, batch: int = 128) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each query the k examples of largest cosine above 0, ties by example; exact: a block is left out only if its bound is below the k-th best."""
+        out = []
+        for a in range(0, len(queries), batch):
+            part = queries[a : a + batch]
+            dense = np.zeros((len(part), self.table.shape[1]))
+            for i, (t, w) in enumerate(part):
+                c = self.column[t]
+                dense[i, c[c >= 0]] = w[c >= 0]
+            common = dense.astype(np.float32) @ self.coarse
+            out += [self._nearest(t, w, dense[i], common[i], k) for i, (t, w) in enumerate(part)]
+        return out
+
+    def _nearest(self, terms, weights, dense, common, k):
+        rare = self.column[terms] < 0
+        terms, weights = terms[rare], weights[rare]
+        length = self.start[terms + 1] - self.start[terms]
+        if length.sum() <= self.short * self.n:  # short lists are read faster than their bounds
+            sums = self._whole(terms, length, weights)
+            near = sums + common[: self.n]
+            least = self._least(near, k)
+        else:
+            sums, near, least = self._by_blocks(terms, weights, length, common, k)
+        ids = np.flatnonzero((near > 0) & (near >= least))
+        sums = sums[ids] + np.einsum("ij,j->i", self.table[ids], dense)
+        ids, sums = ids[sums > 0], sums[sums > 0]
+        order = np.lexsort((ids, -sums))[:k]
+        return ids[order], sums[order]
+
+    def _least(self, near: np.ndarray, k: int) -> float:
+        """What every one of the k nearest reaches, the error of the dense part allowed for."""
+        return max(0.0, np.partition(near, self.n - k)[self.n - k] - 2 * self.slack) if self.n > k else 0.0
+
+    def _whole(self, terms, length, weights) -> np.ndarray:
+        return self._sums([slice(x, y) for x, y in zip(self.start[terms].tolist(), self.start[terms + 1].tolist(), strict=True)], length, weights)
+
+    def _by_blocks(self, terms, weights, length, common, k):
         a, b = self.block_start[terms], self.block_start[terms + 1]
-        if not (b > a).any():
-            return np.zeros(0, np.int64), np.zeros(0)
         entry = np.repeat(a - np.concatenate(([0], np.cumsum(b - a)[:-1])), b - a) + np.arange((b - a).sum())
         block, w = self.blocks[entry], np.repeat(weights, b - a)
-        bound = np.bincount(block, weights=w * self.best[entry], minlength=self.n_blocks)
-        order = np.argsort(-bound, kind="stable")[: np.count_nonzero(bound)]
+        bound = np.bincount(block, weights=w * self.best[entry], minlength=self.n_blocks) + common.reshape(self.n_blocks, self.block).max(axis=1)
+        order = np.argsort(-bound, kind="stable")[: np.count_nonzero(bound > 0)]
+        common = common[: self.n].astype(np.float64)
         chosen = np.zeros(self.n_blocks, bool)
         chosen[order[:4]] = True
         while True:
             if 2 * np.count_nonzero(chosen) > len(order):  # most blocks: whole lists are read faster than their parts
-                spans = [slice(x, y) for x, y in zip(self.start[terms].tolist(), self.start[terms + 1].tolist(), strict=True)]
-                sums = self._sums(spans, self.start[terms + 1] - self.start[terms], weights)
-                break
+                sums = self._whole(terms, length, weights)
+                return sums, sums + common, self._least(sums + common, k)
             own = entry[chosen[block]]
             n = (self.at[own + 1] - self.at[own]).astype(np.int64)
             sums = self._sums(np.repeat(self.at[own] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()), n, w[chosen[block]])
-            least = np.partition(sums, -k)[-k] if self.n >= k else 0.0
-            more = (bound > 0) & (bound >= least - 1e-12) & ~chosen
+            near = np.where(np.repeat(chosen, self.block)[: self.n], sums + common, 0.0)
+            least = self._least(near, k)
+            more = (bound > 0) & (bound >= least - self.slack) & ~chosen
             if not more.any():
-                break
+                return sums, near, least
             chosen |= more
-        least = np.partition(sums, -k)[-k] if self.n > k else 0.0
-        ids = np.flatnonzero((sums > 0) & (sums >= least))
-        ids = ids[np.lexsort((ids, -sums[ids]))[:k]]
-        return ids, sums[ids]
 
 
 class ToxicityModel:
     """What scoring needs: terms, their weights, the index, labels and class weights of at most 2 * per_class examples."""
 
-    def __init__(self, terms, idf, ids, y, rows, totals, k, power):
-        self.number, self.idf, self.ids, self.y, self.k, self.power = {t: i for i, t in enumerate(terms)}, idf, ids, y, k, power
+    def __init__(self, idf, ids, y, rows, totals, k, power, calibrate):
+        self.idf, self.ids, self.y, self.k, self.power, self.calibrate = idf, ids, y, k, power, calibrate
         n = np.array([max(1, int((y == c).sum())) for c in (0, 1)])
         self.class_weight = np.array([totals.get(0, 0), totals.get(1, 0)]) / n  # examples stand for all labelled rows of their class
         vectors = [self.vector(t, f) for t, f in rows]
-        self.index = BlockMaxIndex(vectors, len(terms))
+        self.index = BlockMaxIndex(vectors, len(idf))
         w = self.class_weight[y]
         blank = np.array([not len(t) for t, _ in vectors], bool)
         rate = lambda m: float((w[m] @ y[m] + 1e-3) / (w[m].sum() + 1e-2)) if len(y) else 0.1
@@ -93,21 +148,15 @@ class ToxicityModel:
         self.seen: dict[bytes, tuple] = {}
         self.line = self._calibrate(vectors)
 
-    def _calibrate(self, vectors, most: int = 2048) -> tuple[float, float]:
-        """Slope and offset of a logistic line from votes to labels, fitted on examples (``most`` at most, evenly taken) whose own vote is left out."""
-        votes, y = [], []
+    def _calibrate(self, vectors) -> tuple[float, float]:
+        """Slope and offset of a logistic line from votes to labels, fitted on examples (``calibrate`` at most, evenly taken) whose own vote is left out."""
         own = [i for i, (t, _) in enumerate(vectors) if len(t)]
-        for i in own[:: len(own) // most + 1]:
-            votes.append(self._vote(*vectors[i], i))
-            y.append(self.y[i])
-        y = np.array(y, np.int64)
+        own = own[:: len(own) // self.calibrate + 1]
+        near = self.index.nearest_of([vectors[i] for i in own], self.k + 1)
+        votes = [self._share(ids[ids != i][: self.k], sims[ids != i][: self.k]) for i, (ids, sims) in zip(own, near, strict=True)]
+        y = self.y[own] if own else np.zeros(0, np.int64)
         return logistic_line(np.array(votes), y, self.class_weight[y])
 
-    def _vote(self, terms: np.ndarray, weights: np.ndarray, leave: int = -1) -> float:
-        ids, sims = self.index.nearest(terms, weights, self.k + (leave >= 0))
-        ids, sims = ids[ids != leave], sims[ids != leave]
-        return self._share(ids, sims)
-
     def _share(self, ids: np.ndarray, sims: np.ndarray) -> float:
         vote = self.class_weight[self.y[ids]] * sims**self.power
         return float((vote @ self.y[ids] + 0.02 * self.prior) / (vote.sum() + 0.02))
@@ -117,18 +166,18 @@ class ToxicityModel:
         norm = np.sqrt(w @ w)
         return (terms, w / norm) if norm > 0 else (terms[:0], w[:0])
 
-    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, int, list]:
-        terms, weights = self.vector(terms, counts)
-        if not len(terms):
-            return self.blank, int(self.blank >= 0.5), []
-        key = blake2b(terms.tobytes() + weights.tobytes(), digest_size=16).digest()
-        if key not in self.seen:
-            ids, sims = self.index.nearest(terms, weights, self.k)
+    def score(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, int, list]]:
+        """Score, prediction and the three nearest of texts given as terms and counts; texts seen before are not searched again."""
+        if len(self.seen) > 20_000:
+            self.seen.clear()
+        vectors = [self.vector(*r) for r in rows]
+        keys = [blake2b(t.tobytes() + w.tobytes(), digest_size=16).digest() if len(t) else None for t, w in vectors]
+        todo = {key: v for key, v in zip(keys, vectors, strict=True) if key and key not in self.seen}
+        for key, (ids, sims) in zip(todo, self.index.nearest_of(list(todo.values()), self.k), strict=True):
             score = float(1 / (1 + np.exp(-(self.line[0] * logit(self._share(ids, sims)) + self.line[1]))))
-            if len(self.seen) > 20_000:
-                self.seen.clear()
             self.seen[key] = score, int(score >= 0.5), [(int(self.ids[i]), float(s), int(self.y[i])) for i, s in zip(ids[:3], sims[:3], strict=True)]
-        return self.seen[key]
+        blank = self.blank, int(self.blank >= 0.5), []
+        return [self.seen[key] if key else blank for key in keys]
 
 
 def terms_of(words) -> list[str]:
@@ -178,21 +227,51 @@ def telling(n: np.ndarray, a: int, b: int, floor: float, full_z: float) -> np.nd
     return floor + np.clip(z / full_z, 0, 1) ** 2
 
 
-def document_frequencies(docs: DataFrame, number: dict[str, int]) -> tuple[int, np.ndarray]:
+def term_rows(docs: DataFrame, number: dict[str, int], name: str) -> DataFrame:
+    """(doc_id, terms): per row the numbers of its distinct terms of a vocabulary (as differences) and then how often it has
+    each, as little-endian unsigned 32-bit integers; whole texts are read once, and the rows written."""
+    import pyarrow as pa
+
+    sent = docs.sparkSession.sparkContext.broadcast(number)
+
+    def of(batches):
+        for batch in batches:
+            for lo, hi, terms, n, ends in counted(batch.column(1), sent.value):
+                both = np.diff(terms, prepend=0)
+                both[ends[:-1][np.diff(ends) > 0]] = terms[ends[:-1][np.diff(ends) > 0]]
+                both, n = both.astype("<u4"), n.astype("<u4")
+                made = [both[a:b].tobytes() + n[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(made, pa.binary())], ["doc_id", "terms"])
+
+    return cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of, "doc_id long, terms binary"), name)
+
+
+def opened(column) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Terms and counts of each row of a column that term_rows made."""
+    made = []
+    for data in column:
+        both = np.frombuffer(data.as_py(), "<u4").astype(np.int64)
+        half = len(both) // 2
+        made.append((np.cumsum(both[:half]), both[half:]))
+    return made
+
+
+def document_frequencies(rows: DataFrame, size: int) -> tuple[int, np.ndarray]:
     """The number of rows, and of rows that have each term of a vocabulary; each task sends its sums once."""
     import pyarrow as pa
 
     def of(batches):
-        total, rows = np.zeros(len(number), np.int64), 0
+        total, n = np.zeros(size, np.int64), 0
         for batch in batches:
-            rows += batch.num_rows
-            for _, _, terms, _, _ in counted(batch.column(0), number):
-                total += np.bincount(terms, minlength=len(number))
+            n += batch.num_rows
+            for a in range(0, batch.num_rows, 1024):
+                terms = [t for t, _ in opened(batch.column(0).slice(a, 1024))]
+                total += np.bincount(np.concatenate(terms), minlength=size)
         t = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(t, -1), pa.int32()), pa.array(np.append(total[t], rows), pa.int64())], ["t", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(t, -1), pa.int32()), pa.array(np.append(total[t], n), pa.int64())], ["t", "n"])
 
-    found = docs.select("text").mapInArrow(of, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
-    t, n, out = found["t"].to_numpy(), found["n"].to_numpy(), np.zeros(len(number), np.int64)
+    found = rows.select("terms").mapInArrow(of, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    t, n, out = found["t"].to_numpy(), found["n"].to_numpy(), np.zeros(size, np.int64)
     out[t[t >= 0]] = n[t >= 0]
     return int(n[t < 0].sum()), out
 
@@ -291,16 +370,16 @@ def choose_terms(sample: DataFrame, max_terms: int, min_docs: int, min_z: float,
     return [telling[t] for t in chosen]
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 4096, floor: float = 0.02, full_z: float = 5.0, k: int = 32, power: float = 2.0, folds: int = 5) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 4096, floor: float = 0.02, full_z: float = 5.0, k: int = 32, power: float = 2.0, folds: int = 5, calibrate: int = 2048) -> DataFrame:
     """doc_id, held_out and SCHEMA per row of ``docs`` (doc_id, text), from ``labels`` (doc_id, toxic) of training rows alone.
 
     Examples: at most ``per_class`` labelled training rows of either class, by hash of the id (the bound of what is
     broadcast); their votes are weighted back to the classes' true shares. Vocabulary: every term of the examples. A
     term weighs (1 + ln count) * idf, times a factor that rises from ``floor`` with how much it tells label 1 (telling);
-    no term has weight 0. Inverse document frequencies are counted over all of ``docs``, in a pass of their own over whole
-    texts. A document's score is the share of label 1 among its ``k`` nearest examples by cosine, weighted by
-    cosine ** ``power`` and shrunk towards the share of all, on the logistic line that fits the examples' labels when each
-    is left out of its own vote; evidence names the three nearest.
+    no term has weight 0. Whole texts are read once and written as sparse rows, over all of which the inverse document
+    frequencies are counted. A document's score is the share of label 1 among its ``k`` nearest examples by cosine, weighted by
+    cosine ** ``power`` and shrunk towards the share of all, on the logistic line that fits the labels of ``calibrate``
+    examples at most when each is left out of its own vote; evidence names the three nearest.
 
     Null and empty texts, and texts without a term of any example: the share of label 1 among examples without one.
     Null ids: held_out is null. Repeated rows get equal scores. No labels at all: 0.1 for every row. An empty table gives
@@ -313,20 +392,22 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 4096, fl
     terms, found = example_terms(sample)
     number = {t: i for i, t in enumerate(terms)}
     ids, y, rows = example_counts(sample, number)
-    n, df = document_frequencies(docs, number)
+    texts = term_rows(docs, number, "toxicity-terms")
+    n, df = document_frequencies(texts, len(terms))
     weight = (np.log((1 + n) / (1 + df)) + 1) * telling(found, int((y == 0).sum()), int((y == 1).sum()), floor, full_z)
-    sent = docs.sparkSession.sparkContext.broadcast(ToxicityModel(terms, weight, ids, y, rows, totals, k, power))
+    sent = docs.sparkSession.sparkContext.broadcast(ToxicityModel(weight, ids, y, rows, totals, k, power, calibrate))
     evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())]))
 
     def of(batches):
         own = sent.value
         for batch in batches:
-            for lo, hi, t, c, ends in counted(batch.column(1), own.number):
-                made = [own.score(t[a:b], c[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                made = own.score(opened(part.column(1)))
                 near = [[{"doc_id": d, "similarity": s, "label": y} for d, s, y in m[2]] for m in made]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([m[0] for m in made], pa.float64()), pa.array([m[1] for m in made], pa.int32()), pa.array(near, evidence)], ["doc_id", "score", "predicted", "evidence"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([m[0] for m in made], pa.float64()), pa.array([m[1] for m in made], pa.int32()), pa.array(near, evidence)], ["doc_id", "score", "predicted", "evidence"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of, f"doc_id long, {SCHEMA}")
+    scored = texts.mapInArrow(of, f"doc_id long, {SCHEMA}")
     return scored.select("doc_id", (crc_fold("doc_id", folds) == 0).alias("held_out"), "score", "predicted", "evidence")
 
 

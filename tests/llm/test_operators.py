@@ -167,11 +167,13 @@ def test_toxicity_holds_every_term_of_few_examples(spark):
     assert out.loc[toxic].score.min() > out.drop(toxic).drop(101).score.max() and out.loc[101].score > out.drop(toxic).drop(101).score.max()
 
 
-def test_block_max_search_is_exact():
+@pytest.mark.parametrize(("most_dense", "short"), [(0, 0), (8, 0), (8, 8), (256, 0)])
+def test_block_max_search_is_exact(most_dense, short):
     rng = np.random.default_rng(0)
     rows = [(np.unique(rng.integers(0, 60, 8)), None) for _ in range(700)]
     rows = [(t, np.full(len(t), 1 / math.sqrt(len(t)))) for t, _ in rows]
-    index = toxicity.BlockMaxIndex(rows, 60, block=16)
+    index = toxicity.BlockMaxIndex(rows, 60, block=16, most_dense=most_dense)
+    index.short = short
     dense = np.zeros((700, 60))
     for i, (t, w) in enumerate(rows):
         dense[i, t] = w
