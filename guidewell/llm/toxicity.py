@@ -31,12 +31,9 @@ class BlockMaxIndex:
     #: Lists that together hold at most so many postings an example are read whole, without bounds.
     short = 24
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = 64, most_dense: int = 256, dense_share: float = 0.125):
-        """``rows``: terms and weights (of length 1 together) of each example."""
-        self.n, self.block, self.n_blocks = len(rows), block, len(rows) // block + 1
-        ex = np.repeat(np.arange(self.n), [len(t) for t, _ in rows]).astype(np.int64)
-        term = np.concatenate([t for t, _ in rows]) if rows else np.zeros(0, np.int64)
-        weight = np.concatenate([w for _, w in rows]) if rows else np.zeros(0)
+    def __init__(self, n: int, ex: np.ndarray, term: np.ndarray, weight: np.ndarray, n_terms: int, block: int = 64, most_dense: int = 256, dense_share: float = 0.125):
+        """``ex``, ``term``, ``weight``: an entry for each term of each of ``n`` examples; an example's weights have length 1 together."""
+        self.n, self.block, self.n_blocks = n, block, n // block + 1
         often = np.bincount(term, minlength=n_terms)
         dense = np.argsort(-often, kind="stable")[:most_dense]
         dense = np.sort(dense[often[dense] > dense_share * self.n])
@@ -48,15 +45,15 @@ class BlockMaxIndex:
         self.coarse = np.zeros((len(dense), self.n_blocks * block), np.float32)
         self.coarse[:, : self.n] = self.table.T
         ex, weight, term = ex[~own], weight[~own], term[~own]
-        order = np.lexsort((ex, term))
-        ex, self.weight, term = ex[order], weight[order], term[order]
+        order = np.argsort(term.astype(np.int64) * max(1, n) + ex)
+        ex, self.weight, term = ex[order].astype(np.int32), weight[order], term[order].astype(np.int64)
         self.start = np.searchsorted(term, np.arange(n_terms + 1))
         first = np.flatnonzero(np.diff(term * self.n_blocks + ex // block, prepend=-1))
         self.best = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
         self.at = np.append(first, len(ex)).astype(np.int32)
         self.blocks = (ex[first] // block).astype(np.int32)
         self.block_start = np.searchsorted(term[first], np.arange(n_terms + 1))
-        self.ex = ex.astype(np.int32)
+        self.ex = ex
 
     def _sums(self, at, n: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Parts of the cosines of all examples over postings ``at`` (places, or slices), ``n`` of them in turn with the query weight ``w``; terms add up in one order."""
@@ -138,21 +135,23 @@ class ToxicityModel:
         self.idf, self.ids, self.y, self.k, self.power, self.calibrate = idf, ids, y, k, power, calibrate
         n = np.array([max(1, int((y == c).sum())) for c in (0, 1)])
         self.class_weight = np.array([totals.get(0, 0), totals.get(1, 0)]) / n  # examples stand for all labelled rows of their class
-        vectors = [self.vector(t, f) for t, f in rows]
-        self.index = BlockMaxIndex(vectors, len(idf))
+        terms, counts, starts = rows
+        weight, ex = (1 + np.log(counts)) * idf[terms], owners(starts)
+        weight /= np.sqrt(np.bincount(ex, weights=weight * weight, minlength=len(y)))[ex]
+        self.index = BlockMaxIndex(len(y), ex, terms, weight, len(idf))
         w = self.class_weight[y]
-        blank = np.array([not len(t) for t, _ in vectors], bool)
+        blank = np.diff(starts) == 0
         rate = lambda m: float((w[m] @ y[m] + 1e-3) / (w[m].sum() + 1e-2)) if len(y) else 0.1
         self.prior = rate(np.ones(len(y), bool))
         self.blank = rate(blank) if blank.any() else self.prior  # of texts that share no term with the vocabulary
         self.seen: dict[bytes, tuple] = {}
-        self.line = self._calibrate(vectors)
+        self.line = self._calibrate(terms, weight, starts)
 
-    def _calibrate(self, vectors) -> tuple[float, float]:
+    def _calibrate(self, terms: np.ndarray, weight: np.ndarray, starts: np.ndarray) -> tuple[float, float]:
         """Slope and offset of a logistic line from votes to labels, fitted on examples (``calibrate`` at most, evenly taken) whose own vote is left out."""
-        own = [i for i, (t, _) in enumerate(vectors) if len(t)]
-        own = own[:: len(own) // self.calibrate + 1]
-        near = self.index.nearest_of([vectors[i] for i in own], self.k + 1)
+        own = np.flatnonzero(np.diff(starts))
+        own = own[:: len(own) // self.calibrate + 1].tolist()
+        near = self.index.nearest_of([(terms[starts[i] : starts[i + 1]], weight[starts[i] : starts[i + 1]]) for i in own], self.k + 1)
         votes = [self._share(ids[ids != i][: self.k], sims[ids != i][: self.k]) for i, (ids, sims) in zip(own, near, strict=True)]
         y = self.y[own] if own else np.zeros(0, np.int64)
         return logistic_line(np.array(votes), y, self.class_weight[y])
@@ -227,23 +226,26 @@ def telling(n: np.ndarray, a: int, b: int, floor: float, full_z: float) -> np.nd
     return floor + np.clip(z / full_z, 0, 1) ** 2
 
 
-def term_rows(docs: DataFrame, number: dict[str, int], name: str) -> DataFrame:
-    """(doc_id, terms): per row the numbers of its distinct terms of a vocabulary (as differences) and then how often it has
-    each, as little-endian unsigned 32-bit integers; whole texts are read once, and the rows written."""
+def term_rows(docs: DataFrame, number: dict[str, int], name: str, *more: str) -> DataFrame:
+    """(doc_id, int columns ``more``, terms): per row the numbers of its distinct terms of a vocabulary (as differences) and
+    then how often it has each, as little-endian unsigned 32-bit integers; whole texts are read once, and the rows written."""
     import pyarrow as pa
 
     sent = docs.sparkSession.sparkContext.broadcast(number)
 
     def of(batches):
         for batch in batches:
-            for lo, hi, terms, n, ends in counted(batch.column(1), sent.value):
+            for lo, hi, terms, n, ends in counted(batch.column(0), sent.value):
                 both = np.diff(terms, prepend=0)
                 both[ends[:-1][np.diff(ends) > 0]] = terms[ends[:-1][np.diff(ends) > 0]]
                 both, n = both.astype("<u4"), n.astype("<u4")
                 made = [both[a:b].tobytes() + n[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(made, pa.binary())], ["doc_id", "terms"])
+                yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in batch.columns[1:]], pa.array(made, pa.binary())], ["doc_id", *more, "terms"])
 
-    return cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of, "doc_id long, terms binary"), name)
+    fields = "".join(f"{c} int, " for c in more)
+    out = cut(docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), *more).mapInArrow(of, f"doc_id long, {fields}terms binary"), name)
+    sent.destroy()
+    return out
 
 
 def opened(column) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -276,19 +278,12 @@ def document_frequencies(rows: DataFrame, size: int) -> tuple[int, np.ndarray]:
     return int(n[t < 0].sum()), out
 
 
-def example_counts(sample: DataFrame, number: dict[str, int]) -> tuple[np.ndarray, np.ndarray, list]:
-    """Ids, labels, and terms with counts of the examples, by id."""
-    import pyarrow as pa
-
-    def of(batches):
-        for batch in batches:
-            for lo, hi, terms, n, ends in counted(batch.column(2), number):
-                lists = [pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(x, pa.int32())) for x in (terms, n)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *lists], ["doc_id", "y", "terms", "counts"])
-
-    found = sample.select("doc_id", "y", "text").mapInArrow(of, "doc_id long, y int, terms array<int>, counts array<int>").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")]).combine_chunks()
-    rows = [(t.values.to_numpy().astype(np.int64), c.values.to_numpy().astype(np.float64)) for t, c in zip(found["terms"], found["counts"], strict=True)]
-    return found["doc_id"].to_numpy().astype(np.int64), found["y"].to_numpy().astype(np.int64), rows
+def example_counts(sample: DataFrame, number: dict[str, int]) -> tuple[np.ndarray, np.ndarray, tuple]:
+    """Ids and labels of the examples, by id; and their terms and counts end to end, with where each example's start."""
+    rows = term_rows(sample, number, "example-terms", "y").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")]).combine_chunks()
+    made = opened(rows["terms"])
+    terms, counts = (np.concatenate([np.zeros(0, np.int32), *[m[k] for m in made]]).astype(np.int32) for k in (0, 1))
+    return rows["doc_id"].to_numpy().astype(np.int64), rows["y"].to_numpy().astype(np.int64), (terms, counts, np.concatenate(([0], np.cumsum([len(m[0]) for m in made], dtype=np.int64))))
 
 
 def term_counts(docs: DataFrame, terms: list[str], keep: str) -> DataFrame:
@@ -390,11 +385,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 4096, fl
     sample, totals = examples(docs, labels, "toxic", per_class, folds)
     sample = cut(sample, "toxicity-examples")
     terms, found = example_terms(sample)
-    number = {t: i for i, t in enumerate(terms)}
+    size, number = len(terms), {t: i for i, t in enumerate(terms)}
+    del terms
     ids, y, rows = example_counts(sample, number)
     texts = term_rows(docs, number, "toxicity-terms")
-    n, df = document_frequencies(texts, len(terms))
+    del number
+    n, df = document_frequencies(texts, size)
     weight = (np.log((1 + n) / (1 + df)) + 1) * telling(found, int((y == 0).sum()), int((y == 1).sum()), floor, full_z)
+    pa.default_memory_pool().release_unused()
     sent = docs.sparkSession.sparkContext.broadcast(ToxicityModel(weight, ids, y, rows, totals, k, power, calibrate))
     evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())]))
 

@@ -172,7 +172,7 @@ def test_block_max_search_is_exact(most_dense, short):
     rng = np.random.default_rng(0)
     rows = [(np.unique(rng.integers(0, 60, 8)), None) for _ in range(700)]
     rows = [(t, np.full(len(t), 1 / math.sqrt(len(t)))) for t, _ in rows]
-    index = toxicity.BlockMaxIndex(rows, 60, block=16, most_dense=most_dense)
+    index = toxicity.BlockMaxIndex(700, np.repeat(np.arange(700), [len(t) for t, _ in rows]), np.concatenate([t for t, _ in rows]), np.concatenate([w for _, w in rows]), 60, block=16, most_dense=most_dense)
     index.short = short
     dense = np.zeros((700, 60))
     for i, (t, w) in enumerate(rows):
