@@ -5,8 +5,10 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
-#: Positions of zeros are kept for every so many buckets.
-SAMPLE = 4
+#: All bytes 1, and all bytes' top bits.
+ONES, TOPS = U(0x0101010101010101), U(0x8080808080808080)
+#: Where the r-th (from 0) set bit of a byte is.
+SELECT = np.array([[([b for b in range(8) if byte >> b & 1] + [8] * 8)[r] for r in range(8)] for byte in range(256)], np.uint8)
 
 
 def pack_bits(values: np.ndarray, width: int) -> np.ndarray:
@@ -33,7 +35,7 @@ def unpack_bits(words: np.ndarray, width: int, k: np.ndarray) -> np.ndarray:
 
 
 def encode(values: np.ndarray) -> dict:
-    """Arrays and sizes of a strictly ascending uint64 sequence: above its first, low bits packed, high bits in unary."""
+    """Arrays and sizes of a strictly ascending uint64 sequence: above its first, low bits packed, high bits in unary, and how many zeros stand before each word of these."""
     base = int(values[0]) if len(values) else 0
     values = values - U(base)
     bits = int(values[-1]).bit_length() if len(values) else 0
@@ -45,35 +47,30 @@ def encode(values: np.ndarray) -> dict:
     size = buckets + n
     raw = np.zeros((size + 63) // 64 * 64 + 128, bool)
     raw[ones] = True
-    zeros = np.flatnonzero(~raw[:size])
-    return {"base": base, "n": n, "low_bits": low, "buckets": buckets, "low": pack_bits(values & U((1 << low) - 1), low), "high": np.packbits(raw, bitorder="little").view(U), "zeros": zeros[::SAMPLE].astype(np.uint32 if size < 1 << 32 else np.int64)}
+    high = np.packbits(raw, bitorder="little").view(U)
+    before = np.concatenate(([0], np.cumsum(64 - np.bitwise_count(high).astype(np.int64))[:-1]))
+    return {"base": base, "n": n, "low_bits": low, "buckets": buckets, "low": pack_bits(values & U((1 << low) - 1), low), "high": high, "zeros": before.astype(np.uint32 if size < 1 << 32 else np.int64)}
+
+
+def select_in_words(words: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Where the r-th (from 0) set bit of each word is: its byte by running counts of all eight at once, then by table."""
+    n = words - ((words >> U(1)) & U(0x5555555555555555))
+    n = (n & U(0x3333333333333333)) + ((n >> U(2)) & U(0x3333333333333333))
+    n = ((n + (n >> U(4))) & U(0x0F0F0F0F0F0F0F0F)) * ONES  # each byte: the bits in it and below
+    full = ((((r * ONES) | TOPS) - n) & TOPS) >> U(7)  # bytes that end before it
+    at = (full * ONES) >> U(56) << U(3)
+    left = r - ((n << U(8)) >> at & U(255))
+    return at.astype(np.int64) + SELECT[(words >> at & U(255)).astype(np.int64), left.astype(np.int64)]
 
 
 class EliasFano:
     def __init__(self, base: int, n: int, low_bits: int, buckets: int, low: np.ndarray, high: np.ndarray, zeros: np.ndarray):
         self.base, self.n, self.low_bits, self.buckets, self.low, self.high, self.zeros = base, n, low_bits, buckets, low, high, zeros
 
-    def _next_zero(self, at: np.ndarray) -> np.ndarray:
-        """Position of the first zero at or after each position."""
-        out = at.copy()
-        todo = np.arange(len(at))
-        while len(todo):
-            p = out[todo]
-            rest = ~self.high[p >> 6] >> (p & 63).astype(U)
-            found = rest != 0
-            step = np.bitwise_count((rest & (~rest + U(1))) - U(1)).astype(np.int64)
-            out[todo] = np.where(found, p + step, ((p >> 6) + 1) << 6)
-            todo = todo[~found]
-        return out
-
     def _zero(self, k: np.ndarray) -> np.ndarray:
-        """Position of the k-th (from 0) zero among the high bits: its sample, then zero by zero."""
-        at = self.zeros[k // SAMPLE].astype(np.int64)
-        left = k % SAMPLE
-        for step in range(1, SAMPLE):
-            own = np.flatnonzero(left >= step)
-            at[own] = self._next_zero(at[own] + 1)
-        return at
+        """Position of the k-th (from 0) zero among the high bits, however long the runs of ones: its word by the counts, then its bit."""
+        word = np.searchsorted(self.zeros, k.astype(self.zeros.dtype), side="right") - 1
+        return (word << 6) + select_in_words(~self.high[word], (k - self.zeros[word]).astype(U))
 
     def find(self, values: np.ndarray) -> np.ndarray:
         """Index of each value, -1 where it is not there: its successor is sought by halves, in its bucket only."""
