@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: cells: row_id LONG, obs_index STRING and any per-cell attributes; genes: gene_id INT, gene_name STRING, optionally
 #: highly_variable BOOLEAN; expr: row_id LONG, indices ARRAY<INT>, values ARRAY<DOUBLE> (nonzeros), optionally layer STRING.
@@ -13,6 +14,11 @@ from pyspark.sql import DataFrame
 BROADCAST_BYTES = 128 << 20
 
 
+def broadcast_if_small(table: DataFrame, n_bytes: int) -> DataFrame:
+    """Broadcast a table whose size is known to be within the limit; else leave the join to the optimizer."""
+    return F.broadcast(table) if n_bytes <= BROADCAST_BYTES else table
+
+
 @dataclass(frozen=True)
 class PerturbData:
     """One data set. ``row_id`` and ``gene_id`` are positions supplied by the source; a cell without expression has no row in ``expr``."""
@@ -62,7 +68,7 @@ class Config:
 
 @dataclass
 class Result:
-    """Lazy tables of a run: ``table`` is the long output with row_id and p_idx, ``scores`` its scored rows."""
+    """Lazy tables of a run: ``table`` is the long output with row_id and p_idx, ``scores`` its scored rows. ``release`` frees what is kept for them."""
 
     scores: DataFrame
     table: DataFrame
@@ -70,6 +76,12 @@ class Result:
     perturbations: list[str]
     union_genes: list[int]
     metadata: dict[str, Any] = field(default_factory=dict)
+    held: list[DataFrame] = field(default_factory=list)
 
     def output(self) -> DataFrame:
         return self.table.orderBy("row_id", "p_idx").select("obs_index", "ps_score", "perturbation")
+
+    def release(self) -> None:
+        """Drop kept tables from memory and disk; the lazy tables stay usable and are computed again."""
+        while self.held:
+            self.held.pop().unpersist()

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from guidewell.functions.expressions import is_missing, stripped
+from guidewell.model import broadcast_if_small
 
 
 @dataclass(frozen=True)
@@ -21,17 +22,25 @@ class Parsed:
 
 def clean(cells: DataFrame, column: str, what: str, name: str) -> DataFrame:
     """Add ``name``, the column as text; the first missing or empty value by row raises."""
+    distinct_values(cells, column, what)
+    return cells.withColumn(name, F.col(column).cast("string"))
+
+
+def distinct_values(cells: DataFrame, column: str, what: str) -> DataFrame:
+    """label, first_row: each value of a column as text with its first row, kept in memory; the first missing or empty value by row raises."""
     kind = dict(cells.dtypes)[column]
-    bad = is_missing(F.col(column), kind) | (F.col(column).cast("string") == "")
-    row = cells.where(bad).agg(F.min("row_id")).first()[0]
+    value = F.when(is_missing(F.col(column), kind), F.lit(None)).otherwise(F.col(column).cast("string"))
+    known = cells.select(value.alias("label"), "row_id").groupBy("label").agg(F.min("row_id").alias("first_row")).persist()
+    row = known.where("label is null or label = ''").agg(F.min("first_row")).first()[0]
     if row is not None:
+        known.unpersist()
         raise ValueError(f"Missing or empty {what} label at row {row}")
-    return cells.withColumn(name, F.col(column).cast("string"))
+    return known
 
 
-def label_tokens(cells: DataFrame, mode: str, control: str) -> DataFrame:
+def label_tokens(known: DataFrame, mode: str, control: str) -> DataFrame:
     """label, first_row, is_control, tokens (distinct, in order; none for the control) per distinct label."""
-    known = cells.groupBy("label").agg(F.min("row_id").alias("first_row")).withColumn("is_control", F.col("label") == control)
+    known = known.withColumn("is_control", F.col("label") == control)
     raw = F.array("label") if mode == "single" else F.transform(F.split("label", r"\+", -1), stripped)
     known = known.withColumn("raw", F.when(F.col("is_control"), F.array().cast("array<string>")).otherwise(raw))
     if mode == "multilabel":
@@ -63,17 +72,25 @@ def select_perturbations(known: list[str], wanted: list[str] | None) -> list[str
 def parse(cells: DataFrame, column: str, mode: str, control: str, wanted: list[str] | None = None) -> Parsed:
     """A cell is modelled if it is a control or all its perturbations are selected; others stay with an empty active set."""
     spark = cells.sparkSession
-    cells = clean(cells, column, "perturbation", "label")
-    tokens = label_tokens(cells, mode, control)
+    tokens = label_tokens(distinct_values(cells, column, "perturbation"), mode, control)
     chosen = select_perturbations([r["token"] for r in ordered_perturbations(tokens).orderBy("first").collect()], None if wanted is None else list(wanted))
     table = spark.createDataFrame(list(enumerate(chosen, 1)), "p_idx int, perturbation string")
-    found = tokens.select("label", F.explode("tokens").alias("perturbation"), F.size("tokens").alias("n")).join(F.broadcast(table), "perturbation")
+    near = broadcast_if_small(table, 64 * len(chosen))
+    found = tokens.select("label", F.explode("tokens").alias("perturbation"), F.size("tokens").alias("n")).join(near, "perturbation")
     found = found.groupBy("label").agg(F.array_sort(F.collect_list("p_idx")).alias("active"), F.max("n").alias("n")).where(F.size("active") == F.col("n")).drop("n")
     known = tokens.select("label", "is_control").join(found, "label", "left").select("label", "is_control", F.coalesce("active", F.array().cast("array<int>")).alias("active"))
-    cells = cells.join(known, "label").withColumn("is_model", F.col("is_control") | (F.size("active") > 0))
+    cells = cells.withColumn("label", F.col(column).cast("string")).join(known, "label").withColumn("is_model", F.col("is_control") | (F.size("active") > 0))
     return Parsed(cells, chosen, table)
 
 
+def single_codes(cells: DataFrame) -> DataFrame:
+    """``cells`` with p_idx: the one perturbation of each cell, 0 for controls and null for cells that are not modelled; a cell of several raises."""
+    several = cells.where(F.size("active") > 1).agg(F.min("row_id")).first()[0]
+    if several is not None:
+        raise ValueError(f"Single mode takes one perturbation a cell, row {several} has more")
+    return cells.withColumn("p_idx", F.when(F.col("is_control"), F.lit(0)).otherwise(F.get("active", F.lit(0))))
+
+
 def guides(cells: DataFrame) -> DataFrame:
     return cells.select("row_id", F.explode("active").alias("p_idx"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from guidewell.functions.expressions import total
@@ -14,13 +14,25 @@ def dense_rows(rows: DataFrame, column: str = "vector") -> DataFrame:
     return rows.select("row_id", pairs.alias("p")).select("row_id", F.transform("p", lambda p: p["i"]).alias("indices"), F.transform("p", lambda p: p["v"]).alias("values"))
 
 
+def faults(rows: DataFrame, n_genes: int) -> DataFrame:
+    """``rows`` with fault: -4 where a row_id has several rows; -3 where indices do not match values, are repeated, null or no
+    gene's, or a value is null; else 0. The window needs rows by row_id, as the join with the cells does after it."""
+    bad = F.col("indices").isNull() | F.col("values").isNull() | (F.size("indices") != F.size("values")) | F.exists("indices", lambda g: g.isNull() | (g < 0) | (g >= n_genes)) | F.exists("values", lambda v: v.isNull()) | (F.size(F.array_distinct("indices")) != F.size("indices"))
+    several = F.count("*").over(Window.partitionBy("row_id")) > 1
+    return rows.withColumn("fault", F.when(several, -4).when(F.coalesce(bad, F.lit(True)), -3).otherwise(0))
+
+
+def raise_faults(malformed: int, repeated: int) -> None:
+    if malformed:
+        raise ValueError(f"{malformed} expression rows with indices that do not match their values or the genes")
+    if repeated:
+        raise ValueError(f"{repeated} expression rows with a repeated row_id")
+
+
 def check_rows(rows: DataFrame, n_genes: int) -> None:
-    """Rows are well formed: as many indices as values, genes in range, one row per row_id."""
-    bad = (F.size("indices") != F.size("values")) | F.exists("indices", lambda g: (g < 0) | (g >= n_genes))
-    if not rows.where(bad).isEmpty():
-        raise ValueError("expression rows with indices that do not match their values or the genes")
-    if not rows.groupBy("row_id").count().where("count > 1").isEmpty():
-        raise ValueError("expression rows with repeated row_id")
+    """Raise where :func:`faults` finds any."""
+    found = faults(rows, n_genes).agg(F.count_if(F.col("fault") == -3).alias("bad"), F.count_if(F.col("fault") == -4).alias("several")).first()
+    raise_faults(found["bad"], found["several"])
 
 
 def library_size(rows: DataFrame) -> DataFrame:
@@ -40,5 +52,4 @@ def normalized(rows: DataFrame, target_sum: float, log: bool = True) -> DataFram
 
 def clipped(entries: DataFrame, clip: DataFrame) -> DataFrame:
     """Entry rows (gene_id, y, ...) with y at most the gene's clip value; zeros go."""
-    near = F.broadcast(clip.select("gene_id", "clip"))  # one row a target gene
-    return entries.join(near, "gene_id").withColumn("y", F.least("y", "clip")).drop("clip").where("y <> 0")
+    return entries.join(clip.select("gene_id", "clip"), "gene_id").withColumn("y", F.least("y", "clip")).drop("clip").where("y <> 0")

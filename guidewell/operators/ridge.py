@@ -6,11 +6,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from guidewell.functions.linear import solve_from_gram
+from guidewell.functions.linear import conjugate_gradients, solve_from_gram
+from guidewell.model import BROADCAST_BYTES
+
+#: Systems of at most so many perturbations are inverted whole (32 MB); larger ones stay sparse.
+DENSE = 2000
 
 
 def target_grid(union: DataFrame, perturbations: DataFrame) -> DataFrame:
-    return union.select("gene_id").join(F.broadcast(perturbations.agg(F.collect_list("p_idx").alias("ps")))).select("gene_id", F.explode("ps").alias("p_idx"))
+    return union.select("gene_id").join(perturbations.select("p_idx"))
 
 
 def single_label(sums: DataFrame, counts: DataFrame, union: DataFrame, perturbations: DataFrame, lr_lambda: float) -> DataFrame:
@@ -19,7 +23,7 @@ def single_label(sums: DataFrame, counts: DataFrame, union: DataFrame, perturbat
     ``sums``: s per (p_idx, gene_id), p_idx 0 the controls. The intercept is penalized too.
     """
     lam = F.lit(float(lr_lambda))
-    grid = target_grid(union, perturbations).join(F.broadcast(counts.where("p_idx > 0")), "p_idx").join(sums.where("p_idx > 0").select("p_idx", "gene_id", "s"), ["p_idx", "gene_id"], "left").fillna(0.0, ["s"])
+    grid = target_grid(union, perturbations).join(counts.where("p_idx > 0"), "p_idx").join(sums.where("p_idx > 0").select("p_idx", "gene_id", "s"), ["p_idx", "gene_id"], "left").fillna(0.0, ["s"])
     n0 = F.broadcast(counts.agg(F.sum("n").alias("n_model")))
     control = sums.where("p_idx = 0").select("gene_id", F.col("s").alias("s0"))
     shrink = F.col("n") / (F.col("n") + lam)
@@ -33,36 +37,47 @@ def single_label(sums: DataFrame, counts: DataFrame, union: DataFrame, perturbat
 def single_label_background(sums: DataFrame, counts: DataFrame, cluster_counts: DataFrame, background: DataFrame, union: DataFrame, perturbations: DataFrame, lr_lambda: float) -> DataFrame:
     """Without intercept, against each cluster's control mean: (s - sum_k n_k b_k) / (n + lambda)."""
     expected = cluster_counts.join(background, "cluster").groupBy("p_idx", "gene_id").agg(F.sum(F.col("n") * F.col("b")).alias("expected"))
-    grid = target_grid(union, perturbations).join(F.broadcast(counts.where("p_idx > 0")), "p_idx").join(sums.where("p_idx > 0").select("p_idx", "gene_id", "s"), ["p_idx", "gene_id"], "left").join(expected, ["p_idx", "gene_id"], "left").fillna(0.0, ["s", "expected"])
+    grid = target_grid(union, perturbations).join(counts.where("p_idx > 0"), "p_idx").join(sums.where("p_idx > 0").select("p_idx", "gene_id", "s"), ["p_idx", "gene_id"], "left").join(expected, ["p_idx", "gene_id"], "left").fillna(0.0, ["s", "expected"])
     rest = grid.select("p_idx", "gene_id", ((F.col("s") - F.col("expected")) / (F.col("n") + F.lit(float(lr_lambda)))).alias("b"))
     return rest.unionByName(union.select(F.lit(0).alias("p_idx"), "gene_id", F.lit(0.0).alias("b")))
 
 
-def multilabel(xty: DataFrame, cooccurrence: DataFrame, n_model: int, n_perturbations: int, union: DataFrame, lr_lambda: float, corrected: bool = False) -> DataFrame:
-    """General solve: the (P + 1)^2 system is small and solved on the driver into its inverse, which is applied to blocks of genes.
+def multilabel(xty: DataFrame, cooccurrence: DataFrame, n_model: int, n_perturbations: int, union: DataFrame, lr_lambda: float, corrected: bool = False, dense: int | None = None) -> DataFrame:
+    """General solve, by blocks of genes. The system of all perturbations is the same for each gene; what reaches the driver is its entries that are not 0.
 
-    ``xty``: s per (p_idx, gene_id), p_idx 0 over all modelled cells (absent when ``corrected``: then there is no intercept).
+    Up to ``dense`` perturbations it is inverted once and the inverse applied to each block; beyond, the sparse system is
+    sent and each block solved by conjugate gradients. ``xty``: s per (p_idx, gene_id), p_idx 0 over all modelled cells
+    (absent when ``corrected``: then there is no intercept).
     """
     p = n_perturbations
-    gram = np.zeros((p + 1, p + 1))
-    gram[0, 0] = n_model
-    for r in cooccurrence.collect():  # at most P^2 numbers
-        gram[r["p1"], r["p2"]] = r["n"]
-        if r["p1"] == r["p2"]:
-            gram[0, r["p1"]] = gram[r["p1"], 0] = r["n"]
-    inverse = np.zeros_like(gram)
-    own = slice(1, None) if corrected else slice(0, None)
-    inverse[own, own] = solve_from_gram(gram[own, own], np.eye(p + (not corrected)), lr_lambda)
-    sent = xty.sparkSession.sparkContext.broadcast(inverse)
+    found = cooccurrence.toPandas()
+    p1, p2, n = (found[c].to_numpy(np.int64) for c in ("p1", "p2", "n"))
+    own = p1 == p2
+    row, column = np.concatenate([p1, p1[own], np.zeros(own.sum(), np.int64), np.arange(p + 1)]), np.concatenate([p2, np.zeros(own.sum(), np.int64), p1[own], np.arange(p + 1)])
+    value = np.concatenate([n, n[own], n[own], np.full(p + 1, float(lr_lambda))]).astype(float)
+    value[len(p1) + 2 * own.sum()] += n_model
+    if corrected:  # the intercept is held at 0
+        there = (row > 0) & (column > 0)
+        row, column, value = np.append(row[there], 0), np.append(column[there], 0), np.append(value[there], 1.0)
+    if p <= (DENSE if dense is None else dense):
+        gram = np.zeros((p + 1, p + 1))
+        np.add.at(gram, (row, column), value)
+        system = (solve_from_gram(gram, np.eye(p + 1), 0.0),)
+    else:
+        order = np.lexsort((column, row))
+        system = row[order], column[order], value[order]
+        if sum(a.nbytes for a in system) > 4 * BROADCAST_BYTES:
+            raise ValueError(f"{len(row)} pairs of perturbations in one cell are too many for one system")
+    sent = xty.sparkSession.sparkContext.broadcast(system)
 
     def apply(pdf):
         import pandas as pd
 
         genes = np.sort(pdf["gene_id"].unique())
         rhs = np.zeros((p + 1, len(genes)))
-        there = pdf[pdf["p_idx"] >= 0]
+        there = pdf[pdf["p_idx"] >= int(corrected)]
         rhs[there["p_idx"].to_numpy(), np.searchsorted(genes, there["gene_id"].to_numpy())] = there["s"].to_numpy()
-        b = sent.value @ rhs
+        b = sent.value[0] @ rhs if len(sent.value) == 1 else conjugate_gradients(*sent.value, rhs)
         return pd.DataFrame({"p_idx": np.repeat(np.arange(p + 1, dtype=np.int32), len(genes)), "gene_id": np.tile(genes, p + 1).astype(np.int32), "b": b.ravel()})
 
     marks = union.select(F.lit(-1).alias("p_idx"), "gene_id", F.lit(0.0).alias("s"))  # every target gene has a row

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from guidewell.functions.expressions import mean, variance
+from guidewell.model import broadcast_if_small
 
 
 def group_counts(cells: DataFrame) -> DataFrame:
@@ -14,6 +15,15 @@ def group_counts(cells: DataFrame) -> DataFrame:
     return cells.select(F.explode(groups).alias("p_idx")).groupBy("p_idx").agg(F.count("*").alias("n"))
 
 
+def census(matrix: DataFrame) -> dict[int, int]:
+    """Counts by group (0 the controls) in one pass: also all cells (-1), modelled cells (-2), and cells by ``fault``: malformed rows (-3), repeated ones (-4)."""
+    none = F.array().cast("array<int>")
+    groups = F.when(F.col("is_control"), F.array(F.lit(0))).otherwise(F.col("active"))
+    marks = F.concat(groups, F.array(F.lit(-1)), F.when(F.col("is_model"), F.array(F.lit(-2))).otherwise(none), F.when(F.col("fault") < 0, F.array("fault")).otherwise(none))
+    found = matrix.select(F.explode(marks).alias("p_idx")).groupBy("p_idx").agg(F.count("*").alias("n")).collect()
+    return {r["p_idx"]: r["n"] for r in found}
+
+
 def group_sums(matrix: DataFrame) -> DataFrame:
     """p_idx, gene_id, s, q, lin: sums of y, y * y and z per group; a cell counts for each of its perturbations."""
     groups = F.when(F.col("is_control"), F.array(F.lit(0))).otherwise(F.col("active"))
@@ -21,9 +31,10 @@ def group_sums(matrix: DataFrame) -> DataFrame:
     return rows.groupBy("p_idx", "gene_id").agg(F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("q"), F.sum("z").alias("lin"))
 
 
-def union_entries(matrix: DataFrame, union: DataFrame, *columns: str) -> DataFrame:
-    """Entry rows (columns, gene_id, y) of the target genes only; one row a gene is broadcast."""
-    return matrix.select(*columns, F.explode("entries").alias("e")).select(*columns, "e.gene_id", "e.y").join(F.broadcast(union.select("gene_id")), "gene_id", "left_semi")
+def union_entries(matrix: DataFrame, union: DataFrame, *columns: str, n_union: int = 0) -> DataFrame:
+    """Entry rows (columns, gene_id, y) of the target genes only; ``n_union`` of them, a row each, which is broadcast if that is small."""
+    near = broadcast_if_small(union.select("gene_id"), 32 * n_union)
+    return matrix.select(*columns, F.explode("entries").alias("e")).select(*columns, "e.gene_id", "e.y").join(near, "gene_id", "left_semi")
 
 
 def xty(entries: DataFrame) -> DataFrame:
@@ -47,19 +58,18 @@ def feature_summary(rows: DataFrame, n: int) -> DataFrame:
 
 def cluster_background(cells: DataFrame, entries: DataFrame, union: DataFrame) -> DataFrame:
     """cluster, gene_id, b: mean control y per cluster on the full grid of clusters with controls and target genes."""
-    counts = cells.where("is_control").groupBy("cluster").agg(F.count("*").alias("n_control"))
-    lacking = sorted(r["cluster"] for r in cells.where("is_model").select("cluster").distinct().join(counts, "cluster", "left_anti").collect())
+    if "cluster" not in cells.columns:
+        raise ValueError("background correction needs the cells' clusters")
+    counts = cells.groupBy("cluster").agg(F.count_if("is_control").alias("n_control"), F.count_if("is_model").alias("n_model"))
+    lacking = sorted(r["cluster"] for r in counts.where("n_model > 0 and n_control = 0").collect())
     if lacking:
         raise ValueError(f"Background clusters without control cells: {', '.join(lacking)}")
     sums = entries.where("is_control").groupBy("cluster", "gene_id").agg(F.sum("y").alias("s"))
-    grid = counts.withColumn("gene_id", F.explode(F.array(*[F.lit(g) for g in _ids(union)]))) if not union.isEmpty() else counts.withColumn("gene_id", F.lit(0)).where("false")
+    # every cluster with controls, for each target gene: a grid of two short tables
+    grid = union.select("gene_id").join(counts.where("n_control > 0").select("cluster", "n_control"))
     return grid.join(sums, ["cluster", "gene_id"], "left").select("cluster", "gene_id", (F.coalesce("s", F.lit(0.0)) / F.col("n_control")).alias("b"))
 
 
 def cluster_counts(cells: DataFrame) -> DataFrame:
     """p_idx, cluster, n of modelled cells."""
     return cells.select("cluster", F.explode("active").alias("p_idx")).groupBy("p_idx", "cluster").agg(F.count("*").alias("n"))
-
-
-def _ids(union: DataFrame) -> list[int]:
-    return [r["gene_id"] for r in union.orderBy("position").collect()]

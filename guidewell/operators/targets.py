@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from guidewell.functions.expressions import log2_fold_change, mean, variance, welch_t
+from guidewell.operators.stats import feature_summary
 
 
 def gene_tests(sums: DataFrame, counts: DataFrame, genes: DataFrame, perturbations: DataFrame) -> DataFrame:
@@ -31,7 +32,17 @@ def top_genes(tests: DataFrame, k: int, absolute: bool = True) -> DataFrame:
         raise ValueError("k must be at least 1")
     key = F.abs("t") if absolute else F.col("t")
     order = Window.partitionBy("p_idx").orderBy(F.isnan("t"), key.desc(), "gene_id")
-    return tests.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    counted = tests.withColumn("passing", F.count("*").over(Window.partitionBy("p_idx")))
+    return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def welch_of_matrices(case: DataFrame, control: DataFrame, features: DataFrame, n_case: int, n_control: int) -> DataFrame:
+    """gene_id, t of two sets of entry rows (gene_id, y) over ``n_case`` and ``n_control`` rows; zeros are implied, a set without rows raises."""
+    if n_case < 1 or n_control < 1:
+        raise ValueError("Welch's t needs rows in both groups")
+    side = lambda rows, n, x: feature_summary(rows, n).select("gene_id", F.col("mean").alias(f"m{x}"), F.col("var").alias(f"v{x}"))
+    both = features.select("gene_id").join(side(case, n_case, 1), "gene_id", "left").join(side(control, n_control, 0), "gene_id", "left").fillna(0.0, ["m1", "v1", "m0", "v0"])
+    return both.select("gene_id", welch_t(F.col("m1"), F.col("v1"), F.lit(n_case), F.col("m0"), F.col("v0"), F.lit(n_control)).alias("t"))
 
 
 def ordered_union(targets: DataFrame) -> DataFrame:

@@ -180,7 +180,7 @@ def long_table(spark, d):
 
 def cluster_background(spark, d):
     s = _Screen(spark, d)
-    union = s.union().persist()
+    union = s.union()
     cells = s.cells.withColumnRenamed("segment", "cluster")
     return stats.cluster_background(cells, s.entries(union), union).select("cluster", "gene_id", r6("b"))
 
