@@ -14,6 +14,16 @@ SPACES = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Texts go to Python workers in batches of about so many bytes, unless the session says otherwise: documents differ too much in length for a number of rows.
+BATCH_BYTES = "8m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -24,6 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
+    bounded_batches(spark)
     return f"{shared_dir(spark)}/guidewell/{name}-{uuid.uuid4().hex}"
 
 
@@ -45,6 +56,15 @@ def drop(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Tables of one long a row are broadcast up to so many rows (about 24 MB where they are held); larger ones are joined by exchange.
+BROADCAST_IDS = 500_000
+
+
+def near_or_exchanged(ids: DataFrame) -> DataFrame:
+    """A written table of ids, broadcast if it has been counted to be small; a join with it is right either way."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def opaque(column: str):
     """The same long under an expression that hides its partitioning: a join on it gets its own exchange, which AQE can split when a key is hot."""
     return F.expr(f"`{column}` ^ 0L")
@@ -64,6 +84,31 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def release() -> None:
+    """Give memory that former tasks have freed back to the system: Python workers go on from stage to stage."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def thrifty(of):
+    """A function over batches that ends by giving memory back: the worker's next task may be another stage's."""
+
+    def run(batches):
+        try:
+            yield from of(batches)
+        finally:
+            release()
+
+    return run
+
+
 def make_dirs(spark: SparkSession, uri: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(uri)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(target)
@@ -75,4 +120,5 @@ def crc_fold(column: str, n: int):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -8,9 +8,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, cut, table
+from .common import crc_fold, cut, release, table, thrifty
 from .features import coded, examples, logistic_line, logit, owners
-from .toxicity import choose_terms, terms_of
+from .language_model import word_hashes
+from .toxicity import document_frequencies, opened, term_hashes
 
 SCHEMA = "score double, predicted int, neighbours array<struct<doc_id:bigint,similarity:double,label:int>>"
 #: Steps of the terms that say how much of a text repeats, shouts or is no letters: one term for each step reached.
@@ -23,98 +24,138 @@ _RUNS = ((re.compile(r"[^\W\d_]+"), None), (re.compile(r"\d+"), "0"), (re.compil
 def shape(word: str) -> str:
     """A word's outline: runs of capitals A, of other letters a, of digits 0, marks as they are, each run once."""
     word = _RUNS[0][0].sub(lambda m: "A" if m[0].isupper() else "a" if not m[0][0].isupper() else "Aa", word)
-    return _RUNS[2][0].sub(_RUNS[2][1], _RUNS[1][0].sub("0", word))[:16]
-
-
-def raw_features(docs: DataFrame, keep: str, shapes: list[str], words: list[str]) -> DataFrame:
-    """``keep`` columns with terms array<int> and weights array<double>: shapes, chosen words and steps of STATS in whole texts.
-
-    Term numbers: shapes, then words, then steps of each of STATS, then steps of LENGTHS.
-    """
+    return _RUNS[2][0].sub(_RUNS[2][1], _RUNS[1][0].sub("0", word))
+
+
+def seen_terms(words: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Hashes of each word's term (0: none) and of its outline, and the outlines."""
+    outlines = [shape(w) for w in words]
+    return term_hashes([w.lower() for w in words]), word_hashes(["\n" + s for s in outlines]), outlines
+
+
+def places(vocabulary: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The number of each hash in an ascending vocabulary, -1 where it is not there."""
+    if not len(vocabulary):
+        return np.full(len(hashes), -1)
+    at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
+    return np.where(vocabulary[at] == hashes, at, -1)
+
+
+def step_terms(words, codes, starts, outlines) -> list[tuple[np.ndarray, int]]:
+    """(texts, number) of each step of STATS and LENGTHS: the texts of a slice that reach it."""
+    n_docs, n = len(starts) - 1, np.diff(starts)
+    own, total = owners(starts), np.maximum(n, 1)
+    flag = lambda f: np.append(np.array([f(s) for s in outlines], bool), False)[codes]
+    share = lambda m: np.bincount(own[m], minlength=n_docs) / total
+    three = np.zeros(0, np.uint64)
+    inside = np.flatnonzero(own[2:] == own[:-2]) if len(own) > 2 else np.zeros(0, np.int64)
+    if len(inside):
+        p, c = np.uint64(0xD6E8FEB86659FD93), codes.astype(np.uint64)
+        mix = own.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + c
+        three = ((mix[inside] * p ^ c[inside + 1]) * p ^ c[inside + 2]) * p
+    _, back, times = np.unique(three, return_inverse=True, return_counts=True)
+    again = np.bincount(own[inside[times[back] > 1]], minlength=n_docs) / total
+    word_own, per_word = np.unique(own * (len(words) + 1) + codes, return_counts=True)
+    top = np.zeros(n_docs)
+    np.maximum.at(top, word_own // (len(words) + 1), per_word / total[word_own // (len(words) + 1)])
+    stats = [again, share(flag(lambda s: "A" in s and "a" not in s)), share(flag(lambda s: any(c in "#*$%&|<>" for c in s))), share(flag(lambda s: "a" not in s and "A" not in s)), top]
+    made = [(np.flatnonzero((x >= step) & (n > 0)), k * len(STEPS) + j) for k, x in enumerate(stats) for j, step in enumerate(STEPS)]
+    return made + [(np.flatnonzero(n >= step), len(STATS) * len(STEPS) + j) for j, step in enumerate(LENGTHS)]
+
+
+N_STEPS = len(STATS) * len(STEPS) + len(LENGTHS)
+
+
+def quality_rows(docs: DataFrame, vocabulary: np.ndarray, name: str, *more: str) -> DataFrame:
+    """(doc_id, int columns ``more``, n, terms): the number of words, and terms with counts as toxicity.term_rows packs them.
+    Numbers below the vocabulary's length are its words and outlines, then come the steps; whole texts are read once."""
     import pyarrow as pa
 
-    shape_no, word_no = {s: k for k, s in enumerate(shapes)}, {w: k + len(shapes) for k, w in enumerate(words)}
-    base = len(shapes) + len(words)
-    size = base + len(STATS) * len(STEPS) + len(LENGTHS)
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    size = len(vocabulary) + N_STEPS
 
     def of(batches):
         for batch in batches:
-            for lo, hi, seen, codes, starts in coded(batch.column(batch.schema.get_field_index("text"))):
-                n_docs, n = hi - lo, np.diff(starts)
-                own, total = owners(starts), np.maximum(n, 1)
-                outline = [shape(w) for w in seen]
-                at = np.array([shape_no.get(s, -1) for s in outline] or [0], np.int64)[codes] if len(codes) else codes
-                plain = np.array([word_no.get(t, -1) for t in terms_of(map(str.lower, seen))] or [0], np.int64)[codes] if len(codes) else codes
-                pairs = np.concatenate([own[at >= 0] * size + at[at >= 0], own[plain >= 0] * size + plain[plain >= 0]])
-                pair, count = np.unique(pairs, return_counts=True)
-                weight = np.log1p(100 * count / total[pair // size])
-                flag = lambda f: np.array([f(s) for s in outline] or [0], bool)[codes] if len(codes) else np.zeros(0, bool)  # noqa: B023,E731
-                share = lambda m: np.bincount(own[m], minlength=n_docs) / total  # noqa: B023,E731
-                mix = own.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + codes.astype(np.uint64)
-                three = np.zeros(0, np.uint64)
-                inside = np.flatnonzero(own[2:] == own[:-2]) if len(own) > 2 else np.zeros(0, np.int64)
-                if len(inside):
-                    p = np.uint64(0xD6E8FEB86659FD93)
-                    three = ((mix[inside] * p ^ codes[inside + 1].astype(np.uint64)) * p ^ codes[inside + 2].astype(np.uint64)) * p
-                _, back, times = np.unique(three, return_inverse=True, return_counts=True)
-                again = np.bincount(own[inside[times[back] > 1]], minlength=n_docs) / total
-                _, per_word = np.unique(own * (len(seen) + 1) + codes, return_counts=True)
-                word_own = np.unique(own * (len(seen) + 1) + codes) // (len(seen) + 1)
-                top = np.zeros(n_docs)
-                np.maximum.at(top, word_own, per_word / total[word_own])
-                stats = [again, share(flag(lambda s: "A" in s and "a" not in s)), share(flag(lambda s: any(c in "#*$%&|<>" for c in s))), share(flag(lambda s: "a" not in s and "A" not in s)), top]
-                extra = [pair], [weight]
-                strong = np.log1p(30.0)
-                for k, x in enumerate(stats):
-                    for j, step in enumerate(STEPS):
-                        d = np.flatnonzero((x >= step) & (n > 0))
-                        extra[0].append(d * size + base + k * len(STEPS) + j)
-                        extra[1].append(np.full(len(d), strong))
-                for j, step in enumerate(LENGTHS):
-                    d = np.flatnonzero(n >= step)
-                    extra[0].append(d * size + base + len(STATS) * len(STEPS) + j)
-                    extra[1].append(np.full(len(d), 0.5))
-                pair, weight = np.concatenate(extra[0]), np.concatenate(extra[1])
-                order = np.argsort(pair, kind="stable")
-                pair, weight = pair[order], weight[order]
-                ends = np.searchsorted(pair, np.arange(n_docs + 1) * size).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(ends, pa.array(pair % size, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(weight, pa.float64()))]
-                part = batch.slice(lo, n_docs)
-                rest = [(f.name, c) for f, c in zip(part.schema, part.columns, strict=True) if f.name != "text"]
-                yield pa.RecordBatch.from_arrays([*[c for _, c in rest], *lists], [*[f for f, _ in rest], "terms", "weights"])
-
-    return docs.select("text", *[c.split()[0] for c in keep.split(", ")]).mapInArrow(of, f"{keep}, terms array<int>, weights array<double>")
-
-
-def common_shapes(sample: DataFrame, most: int) -> list[str]:
+            for lo, hi, words, codes, starts in coded(batch.column(0)):
+                own = owners(starts)
+                plain, outline, outlines = seen_terms(words)
+                pairs = []
+                for h in (plain, outline):
+                    at = np.append(places(sent.value, h), -1)[codes]
+                    pairs.append(own[at >= 0] * size + at[at >= 0])
+                pairs += [d * size + len(sent.value) + j for d, j in step_terms(words, codes, starts, outlines)]
+                pair, n = np.unique(np.concatenate(pairs), return_counts=True)
+                ends, terms = np.searchsorted(pair, np.arange(hi - lo + 1) * size), pair % size
+                both = np.diff(terms, prepend=0)
+                full = ends[:-1][np.diff(ends) > 0]
+                both[full] = terms[full]
+                both, n = both.astype("<u4"), n.astype("<u4")
+                made = [both[a:b].tobytes() + n[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in batch.columns[1:]], pa.array(np.diff(starts), pa.int32()), pa.array(made, pa.binary())], ["doc_id", *more, "n", "terms"])
+
+    fields = "".join(f"{c} int, " for c in more)
+    out = cut(docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), *more).mapInArrow(thrifty(of), f"doc_id long, {fields}n int, terms binary"), name)
+    sent.destroy()
+    return out
+
+
+def example_vocabulary(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of every word and every outline of the examples, ascending, and which of them are words."""
     import pyarrow as pa
 
     def of(batches):
-        total: dict[str, int] = {}
         for batch in batches:
-            for _, _, seen, codes, starts in coded(batch.column(0)):
-                outlines, back = np.unique(np.array([shape(w) for w in seen] or [""], object), return_inverse=True)
-                if len(codes):
-                    pair = np.unique(owners(starts) * len(outlines) + back[codes])
-                    for s, c in zip(outlines, np.bincount(pair % len(outlines), minlength=len(outlines)).tolist(), strict=True):
-                        total[s] = total.get(s, 0) + c
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["shape", "n"])
-
-    df = sample.select("text").mapInArrow(of, "shape string, n long").groupBy("shape").agg(F.sum("n").alias("n"))
-    return [r["shape"] for r in df.where("n > 1 and shape <> ''").orderBy(F.desc("n"), "shape").limit(most).collect()]
+            for _, _, words, _, _ in coded(batch.column(0)):
+                plain, outline, _ = seen_terms(words)
+                for word, h in ((True, plain), (False, outline)):
+                    h = np.unique(h[h != 0])
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), word))], ["h", "word"])
+
+    found = sample.select("text").mapInArrow(of, "h long, word boolean").groupBy("h").agg(F.max("word").alias("word")).toArrow()
+    h = found["h"].to_numpy().view(np.uint64)
+    order = np.argsort(h)
+    return h[order], found["word"].to_numpy()[order]
+
+
+def _sums(table: np.ndarray, at: np.ndarray, weight: np.ndarray, starts: np.ndarray, step: int = 64) -> np.ndarray:
+    """Weighted sums of rows of ``table``, by group: group k has the entries from starts[k] to starts[k + 1]."""
+    out = np.zeros((len(starts) - 1, table.shape[1]), table.dtype)
+    for a in range(0, len(out), step):
+        ends = starts[a : a + step + 1]
+        full = np.flatnonzero(np.diff(ends))
+        if len(full):
+            part = slice(ends[0], ends[-1])
+            out[a + full] = np.add.reduceat(table[at[part]] * weight[part, None], ends[:-1][full] - ends[0], axis=0)
+    return out
+
+
+def leading_directions(terms: np.ndarray, weight: np.ndarray, starts: np.ndarray, size: int, dims: int, rounds: int = 4) -> np.ndarray:
+    """The leading right singular vectors (size x dims) of sparse rows, by subspace iteration from a fixed random start."""
+    weight, wide = weight.astype(np.float32), dims + 8
+    order = np.argsort(terms, kind="stable")
+    row = owners(starts)[order]
+    column_starts = np.searchsorted(terms[order], np.arange(size + 1))
+    up = lambda v: _sums(v, terms, weight, starts)
+    down = lambda u: _sums(u, row, weight[order], column_starts, 4096)
+    v = np.random.default_rng(7).normal(size=(size, wide)).astype(np.float32)
+    for _ in range(rounds):
+        u, _ = np.linalg.qr(up(v))
+        v = down(u)
+    w, turn = np.linalg.eigh(v.T.astype(float) @ v)
+    top = np.argsort(-w)[:dims]
+    scale = np.sqrt(np.maximum(w[top], 1e-30))
+    return (v @ (turn[:, top] / scale).astype(np.float32)) * (w[top] > 1e-12 * max(w.max(initial=0), 1e-30))
 
 
 class QualityModel:
     """Latent directions, and the vectors, labels and class weights of a bounded number of examples."""
 
-    def __init__(self, rows, ids, y, idf, totals, dims, k, power):
-        self.idf, self.ids, self.y, self.k, self.power = idf, ids, y, k, power
+    def __init__(self, idf, is_word, ids, y, rows, totals, dims, k, power):
+        self.idf, self.is_word, self.ids, self.y, self.k, self.power = idf, is_word, ids, y, k, power
         n = np.array([max(1, int((y == c).sum())) for c in (0, 1)])
         self.class_weight = np.array([totals.get(0, 0), totals.get(1, 0)]) / n
-        self.turn = np.eye(len(idf))
-        x = self.vectors(rows)
-        _, v = np.linalg.eigh(x.T @ x)
-        self.turn = np.ascontiguousarray(v[:, ::-1][:, :dims])
+        terms, weight, starts = self.weighted(rows)
+        self.turn = leading_directions(terms, weight, starts, len(idf), dims)
         self.examples = self.vectors(rows)
         w = self.class_weight[y] if len(y) else np.zeros(0)
         self.prior = float((w @ y + 0.5) / (w.sum() + 1)) if len(y) else 0.5
@@ -123,12 +164,22 @@ class QualityModel:
             votes, _, _ = self.vote(self.examples, leave=True)
             self.line = logistic_line(votes, y, w)
 
+    def weighted(self, rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Terms and weights end to end, and where each text's start. A text's words have length 1 together, and so have its outlines and steps."""
+        n, made = rows
+        starts = np.concatenate(([0], np.cumsum([len(t) for t, _ in made], dtype=np.int64)))
+        terms, counts = (np.concatenate([np.zeros(0, np.int64), *[m[k] for m in made]]) for k in (0, 1))
+        own, word = owners(starts), self.is_word[terms]
+        outline = ~word & (terms < len(self.idf) - N_STEPS)
+        raw = np.where(word, 1 + np.log(counts), np.where(outline, np.log1p(100 * counts / np.maximum(n, 1)[own]), np.log1p(30.0))) * self.idf[terms]
+        part = 2 * own + word
+        length = np.sqrt(np.bincount(part, weights=raw * raw, minlength=2 * len(made)))
+        return terms, raw / np.maximum(length[part], 1e-12), starts
+
     def vectors(self, rows) -> np.ndarray:
-        """Unit latent vectors (zero where a text has no term) of sparse rows."""
-        x = np.zeros((len(rows), len(self.idf)))
-        for k, (t, w) in enumerate(rows):
-            x[k, t] = w * self.idf[t]
-        x = x @ self.turn
+        """Unit latent vectors (zero where a text has no term)."""
+        terms, weight, starts = self.weighted(rows)
+        x = _sums(self.turn, terms, weight.astype(np.float32), starts).astype(float)
         norm = np.sqrt(np.einsum("ij,ij->i", x, x))
         return x / np.where(norm > 0, norm, 1)[:, None]
 
@@ -152,49 +203,53 @@ class QualityModel:
 
     def score(self, rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not len(self.y):
-            return np.full(len(rows), self.prior), np.zeros((len(rows), 0), int), np.zeros((len(rows), 0))
+            return np.full(len(rows[1]), self.prior), np.zeros((len(rows[1]), 0), int), np.zeros((len(rows[1]), 0))
         votes, near, sims = self.vote(self.vectors(rows))
         return 1 / (1 + np.exp(-(self.line[0] * logit(votes) + self.line[1]))), near, sims
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = 2048, max_shapes: int = 384, max_words: int = 256, dims: int = 48, k: int = 24, power: float = 8.0, threshold: float = 0.3, folds: int = 5) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = 2048, dims: int = 48, k: int = 24, power: float = 8.0, threshold: float = 0.3, folds: int = 5) -> DataFrame:
     """doc_id, held_out and SCHEMA per row of ``docs`` (doc_id, text), from ``labels`` (doc_id, quality) of training rows alone.
 
-    Terms of a text: outlines of its words, words that tell texts of low quality, and steps of how much of it
-    repeats, shouts or is marks. Weights by inverse document frequency over all of ``docs``; whole texts become sparse
-    rows once, and are written. Examples: at most ``per_class`` labelled training rows of either class, by hash of the id
-    (with ``dims`` the bound of what is broadcast); the latent directions are their leading singular vectors. Each
-    document's cosines with every example are computed in blocks; the ``k`` nearest vote by cosine ** ``power``, weighted
-    back to the classes' true shares, on the logistic line that fits the examples when each is left out of its own vote.
+    Terms of a text: its words, their outlines (both of every example, known by 64-bit hashes), and steps of how much of
+    it repeats, shouts or is marks. Words together weigh as much as the rest together; inverse document frequencies are
+    counted over all of ``docs``, whose whole texts become sparse rows once, which are written. Examples: at most
+    ``per_class`` labelled training rows of either class, by hash of the id (with ``dims`` the bound of what is
+    broadcast); the ``dims`` latent directions are the leading singular vectors of their rows. Each document's cosines with
+    every example are computed in blocks; the ``k`` nearest vote by cosine ** ``power``, weighted back to the classes' true
+    shares, on the logistic line that fits the examples when each is left out of its own vote.
 
     Null and empty texts have a zero vector and the score of no evidence. Null ids: held_out is null. Repeated rows get
-    equal scores. No labels: 0.5 for every row. An empty table gives no rows. Other columns are never read.
+    equal scores. One class alone, or no labels: the share of label 1 (0.5 without any). An empty table gives no rows.
+    Other columns are never read.
     """
-    import pandas as pd
+    import pyarrow as pa
 
     sample, totals = examples(docs, labels, "quality", per_class, folds)
     sample = cut(sample, "quality-examples")
-    shapes, words = common_shapes(sample, max_shapes), choose_terms(sample.withColumn("y", 1 - F.col("y")), max_words, 3, 5.0)
-    size = len(shapes) + len(words) + len(STATS) * len(STEPS) + len(LENGTHS)
-    rows = cut(raw_features(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id long", shapes, words), "quality-terms")
-    found = {r["t"]: r["count"] for r in rows.select(F.explode("terms").alias("t")).groupBy("t").count().collect()}  # at most ``size`` rows
-    n = rows.count()
-    idf = np.array([np.log((1 + n) / (1 + found.get(t, 0))) + 0.3 for t in range(size)])
-    known = raw_features(sample, "doc_id long, y int", shapes, words).orderBy("doc_id", "y").collect()
-    sparse = lambda t, w: list(zip((np.asarray(a, np.int64) for a in t), (np.asarray(b, np.float64) for b in w), strict=True))
-    model = QualityModel(sparse([r["terms"] for r in known], [r["weights"] for r in known]), np.array([r["doc_id"] for r in known], np.int64), np.array([r["y"] for r in known], np.int64), idf, totals, dims, k, power)
+    vocabulary, word = example_vocabulary(sample)
+    size = len(vocabulary) + N_STEPS
+    known = quality_rows(sample, vocabulary, "quality-example-rows", "y").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")]).combine_chunks()
+    texts = quality_rows(docs, vocabulary, "quality-rows")
+    n, found = document_frequencies(texts, size)
+    idf = np.log((1 + n) / (1 + found)) + 0.3
+    numbers = lambda c: known[c].to_numpy().astype(np.int64)
+    model = QualityModel(idf, np.append(word, np.zeros(N_STEPS, bool)), numbers("doc_id"), numbers("y"), (numbers("n"), opened(known["terms"])), totals, dims, k, power)
+    del known, vocabulary
+    release()
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    near_type = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())]))
 
     def of(batches):
         own = sent.value
-        for whole in batches:
-            for a in range(0, len(whole), 2048):
-                pdf = whole.iloc[a : a + 2048]
-                score, near, sims = own.score(sparse(pdf["terms"], pdf["weights"]))
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                score, near, sims = own.score((part.column(1).to_numpy(), opened(part.column(2))))
                 who = [[{"doc_id": int(own.ids[i]), "similarity": float(s), "label": int(own.y[i])} for i, s in zip(x[:3], v[:3], strict=True)] for x, v in zip(near, sims, strict=True)]
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64").to_numpy(dtype=object), "score": score, "predicted": (score >= threshold).astype(int), "neighbours": who})
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(who, near_type)], ["doc_id", "score", "predicted", "neighbours"])
 
-    scored = rows.mapInPandas(of, f"doc_id long, {SCHEMA}")
+    scored = texts.mapInArrow(thrifty(of), f"doc_id long, {SCHEMA}")
     return scored.select("doc_id", (crc_fold("doc_id", folds) == 0).alias("held_out"), "score", "predicted", "neighbours")
 
 

@@ -9,11 +9,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, cut, table
+from .common import crc_fold, cut, release, table, thrifty
 from .features import coded, examples, logistic_line, logit, owners
+from .language_model import word_hashes
 
-#: Stripped from either end of a word.
-MARKS = ".,;:!?\"'()[]{}<>*_-…“”‘’«»"
 #: What is not a letter or digit at either end of a word.
 ENDS = re.compile(r"^[\W_]+|[\W_]+$")
 SCHEMA = "score double, predicted int, evidence array<struct<doc_id:bigint,similarity:double,label:int>>"
@@ -179,26 +178,33 @@ class ToxicityModel:
         return [self.seen[key] if key else blank for key in keys]
 
 
-def terms_of(words) -> list[str]:
-    return [w.strip(MARKS) for w in words]
-
-
 def bare(words) -> list[str]:
     """Words without the punctuation and symbols at their ends."""
     return [w if w[:1].isalnum() and w[-1:].isalnum() else ENDS.sub("", w) for w in words]
 
 
-def counted(texts, number: dict[str, int]):
-    """Yield (lo, hi, terms, counts, ends) for slices of a text column: each text's distinct terms of a vocabulary, ascending, and how often it has them."""
+def term_hashes(words: list[str]) -> np.ndarray:
+    """64-bit hashes of the bare words, by which terms are known; 0 for words of punctuation alone, which are none."""
+    terms = bare(words)
+    return np.where(np.array([bool(t) for t in terms], bool), word_hashes(terms), np.uint64(0))
+
+
+def counted(texts, vocabulary: np.ndarray):
+    """Yield (lo, hi, terms, counts, ends) for slices of a text column: each text's distinct terms as numbers in an ascending
+    vocabulary of term hashes, ascending, and how often it has them."""
+    size = max(1, len(vocabulary))
     for lo, hi, words, codes, starts in coded(texts, "utf8"):
-        at = np.array([number.get(t, -1) for t in bare(words)] or [0], np.int64)[codes]
+        h = term_hashes(words)
+        at = np.minimum(np.searchsorted(vocabulary, h), size - 1)
+        at = np.where(vocabulary[at] == h, at, -1) if len(vocabulary) else np.full(len(h), -1)
+        at = np.append(at, -1)[codes]
         hit = at >= 0
-        pair, n = np.unique(owners(starts)[hit] * len(number) + at[hit], return_counts=True)
-        yield lo, hi, pair % max(1, len(number)), n, np.searchsorted(pair, np.arange(hi - lo + 1) * len(number))
+        pair, n = np.unique(owners(starts)[hit] * size + at[hit], return_counts=True)
+        yield lo, hi, pair % size, n, np.searchsorted(pair, np.arange(hi - lo + 1) * size)
 
 
-def example_terms(sample: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Every term of the examples, in order, with the number of examples of label 0 and of label 1 that have it."""
+def example_terms(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of every term of the examples, ascending, with the number of examples of label 0 and of label 1 that have it."""
     import pyarrow as pa
 
     def of(batches):
@@ -207,14 +213,16 @@ def example_terms(sample: DataFrame) -> tuple[list[str], np.ndarray]:
             for lo, hi, words, codes, starts in coded(batch.column(0), "utf8"):
                 if not len(codes):
                     continue
-                terms, back = np.unique(np.array(bare(words), object), return_inverse=True)
+                terms, back = np.unique(term_hashes(words), return_inverse=True)
                 pair = np.unique(owners(starts) * len(terms) + back[codes])
                 n = [np.bincount(pair[y[lo:hi][pair // len(terms)] == c] % len(terms), minlength=len(terms)) for c in (0, 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(terms.tolist(), pa.string()), *[pa.array(x, pa.int64()) for x in n]], ["term", "n0", "n1"])
+                yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), *[pa.array(x, pa.int64()) for x in n]], ["term", "n0", "n1"])
 
-    df = sample.select("text", "y").mapInArrow(of, "term string, n0 long, n1 long").where("term <> ''").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    found = df.toArrow().sort_by("term")
-    return found["term"].to_pylist(), np.stack([found[c].to_numpy() for c in ("n0", "n1")])
+    df = sample.select("text", "y").mapInArrow(of, "term long, n0 long, n1 long").where("term <> 0").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    found = df.toArrow()
+    terms = found["term"].to_numpy().view(np.uint64)
+    order = np.argsort(terms)
+    return terms[order], np.stack([found[c].to_numpy()[order] for c in ("n0", "n1")])
 
 
 def telling(n: np.ndarray, a: int, b: int, floor: float, full_z: float) -> np.ndarray:
@@ -226,12 +234,12 @@ def telling(n: np.ndarray, a: int, b: int, floor: float, full_z: float) -> np.nd
     return floor + np.clip(z / full_z, 0, 1) ** 2
 
 
-def term_rows(docs: DataFrame, number: dict[str, int], name: str, *more: str) -> DataFrame:
+def term_rows(docs: DataFrame, vocabulary: np.ndarray, name: str, *more: str) -> DataFrame:
     """(doc_id, int columns ``more``, terms): per row the numbers of its distinct terms of a vocabulary (as differences) and
     then how often it has each, as little-endian unsigned 32-bit integers; whole texts are read once, and the rows written."""
     import pyarrow as pa
 
-    sent = docs.sparkSession.sparkContext.broadcast(number)
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def of(batches):
         for batch in batches:
@@ -243,7 +251,7 @@ def term_rows(docs: DataFrame, number: dict[str, int], name: str, *more: str) ->
                 yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in batch.columns[1:]], pa.array(made, pa.binary())], ["doc_id", *more, "terms"])
 
     fields = "".join(f"{c} int, " for c in more)
-    out = cut(docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), *more).mapInArrow(of, f"doc_id long, {fields}terms binary"), name)
+    out = cut(docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), *more).mapInArrow(thrifty(of), f"doc_id long, {fields}terms binary"), name)
     sent.destroy()
     return out
 
@@ -278,99 +286,20 @@ def document_frequencies(rows: DataFrame, size: int) -> tuple[int, np.ndarray]:
     return int(n[t < 0].sum()), out
 
 
-def example_counts(sample: DataFrame, number: dict[str, int]) -> tuple[np.ndarray, np.ndarray, tuple]:
+def example_counts(sample: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
     """Ids and labels of the examples, by id; and their terms and counts end to end, with where each example's start."""
-    rows = term_rows(sample, number, "example-terms", "y").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")]).combine_chunks()
+    rows = term_rows(sample, vocabulary, "example-terms", "y").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")]).combine_chunks()
     made = opened(rows["terms"])
     terms, counts = (np.concatenate([np.zeros(0, np.int32), *[m[k] for m in made]]).astype(np.int32) for k in (0, 1))
     return rows["doc_id"].to_numpy().astype(np.int64), rows["y"].to_numpy().astype(np.int64), (terms, counts, np.concatenate(([0], np.cumsum([len(m[0]) for m in made], dtype=np.int64))))
 
 
-def term_counts(docs: DataFrame, terms: list[str], keep: str) -> DataFrame:
-    """``docs`` columns in ``keep`` with terms array<int> and counts array<int> over a given vocabulary, of whole lower-cased texts."""
-    import pyarrow as pa
-
-    number = {t: k for k, t in enumerate(terms)}
-
-    def of(batches):
-        for batch in batches:
-            for lo, hi, words, codes, starts in coded(batch.column(batch.schema.get_field_index("text")), "utf8"):
-                at = np.array([number.get(t, -1) for t in terms_of(words)] or [0], np.int64)[codes] if len(codes) else codes
-                hit = at >= 0
-                pair, n = np.unique(owners(starts)[hit] * len(number) + at[hit], return_counts=True) if hit.any() else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-                ends = np.searchsorted(pair, np.arange(hi - lo + 1) * len(number)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (pair % max(1, len(number)), n)]
-                part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*[c for c, f in zip(part.columns, part.schema, strict=True) if f.name != "text"], *lists], [*[f.name for f in part.schema if f.name != "text"], "terms", "counts"])
-
-    return docs.select("text", *[c.split()[0] for c in keep.split(", ")]).mapInArrow(of, f"{keep}, terms array<int>, counts array<int>")
-
-
-def cover_terms(rows: list[np.ndarray], y: np.ndarray, n_terms: int, most: int, min_docs: int, min_z: float, cover: int) -> list[int]:
-    """Terms in turn by how much they tell label 1 from label 0, until none differs by ``min_z`` standard errors.
-
-    An example of label 1 that ``cover`` chosen terms name is left out of later counts. So near copies of one text, whose
-    every word looks telling, lend a few terms and not all of theirs.
-    """
-    ex = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    term = np.concatenate(rows) if len(rows) else np.zeros(0, np.int64)
-    n0 = np.bincount(term[y[ex] == 0], minlength=n_terms)
-    a, named, chosen, free = max(1, int((y == 0).sum())), np.zeros(len(rows), int), [], np.ones(n_terms, bool)
-    while len(chosen) < min(most, n_terms):
-        live = (y == 1) & (named < cover)
-        b = int(live.sum())
-        if not b:
-            break
-        n1 = np.bincount(term[live[ex]], minlength=n_terms)
-        p = (n0 + n1) / (a + b)
-        z = np.where(free & (n1 >= min_docs), (n1 / b - n0 / a) / np.sqrt(p * (1 - p) * (1 / a + 1 / b) + 1e-12), -np.inf)
-        t = int(np.argmax(z))
-        if z[t] < min_z:
-            break
-        chosen.append(t)
-        free[t] = False
-        named[np.unique(ex[term == t])] += 1
-    return chosen
-
-
-def choose_terms(sample: DataFrame, max_terms: int, min_docs: int, min_z: float, cover: int = 3, candidates: int = 2048) -> list[str]:
-    """At most ``max_terms`` terms that tell the examples of label 1, from the ``candidates`` most telling ones; see cover_terms."""
-    import pyarrow as pa
-
-    def of(batches):
-        total: dict[str, np.ndarray] = {}
-        for batch in batches:
-            y = batch.column(1).to_numpy()
-            for lo, hi, words, codes, starts in coded(batch.column(0), "utf8"):
-                terms, back = np.unique(np.array(terms_of(words), object), return_inverse=True) if words else ([], None)
-                if not len(codes):
-                    continue
-                pair = np.unique(owners(starts) * len(terms) + back[codes])
-                for c in (0, 1):
-                    n = np.bincount(pair[y[lo:hi][pair // len(terms)] == c] % len(terms), minlength=len(terms))
-                    for t in np.flatnonzero(n).tolist():
-                        total.setdefault(terms[t], np.zeros(2, np.int64))[c] += n[t]
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), *[pa.array([int(v[c]) for v in total.values()], pa.int64()) for c in (0, 1)]], ["term", "n0", "n1"])
-
-    n = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
-    a, b = float(n.get(0, 0)), float(n.get(1, 0))
-    if not a or not b:
-        return []
-    df = sample.select("text", "y").mapInArrow(of, "term string, n0 long, n1 long").where("term <> ''").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    p = (F.col("n0") + F.col("n1")) / (a + b)
-    z = (F.col("n1") / b - F.col("n0") / a) / F.sqrt(p * (1 - p) * (1 / a + 1 / b) + 1e-12)
-    telling = [r["term"] for r in df.where(F.col("n1") >= min_docs).withColumn("z", z).where(F.col("z") >= min_z).orderBy(F.desc("z"), "term").limit(candidates).collect()]
-    rows = term_counts(sample, telling, "doc_id long, y int").orderBy("doc_id", "y").select("terms", "y").collect()
-    chosen = cover_terms([np.asarray(r["terms"], np.int64) for r in rows], np.array([r["y"] for r in rows], np.int64), len(telling), max_terms, min_docs, min_z, cover)
-    return [telling[t] for t in chosen]
-
-
 def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 4096, floor: float = 0.02, full_z: float = 5.0, k: int = 32, power: float = 2.0, folds: int = 5, calibrate: int = 2048) -> DataFrame:
     """doc_id, held_out and SCHEMA per row of ``docs`` (doc_id, text), from ``labels`` (doc_id, toxic) of training rows alone.
 
     Examples: at most ``per_class`` labelled training rows of either class, by hash of the id (the bound of what is
     broadcast); their votes are weighted back to the classes' true shares. Vocabulary: every term of the examples. A
-    term weighs (1 + ln count) * idf, times a factor that rises from ``floor`` with how much it tells label 1 (telling);
+    term, known by a 64-bit hash, weighs (1 + ln count) * idf, times a factor that rises from ``floor`` with how much it tells label 1 (telling);
     no term has weight 0. Whole texts are read once and written as sparse rows, over all of which the inverse document
     frequencies are counted. A document's score is the share of label 1 among its ``k`` nearest examples by cosine, weighted by
     cosine ** ``power`` and shrunk towards the share of all, on the logistic line that fits the labels of ``calibrate``
@@ -385,15 +314,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 4096, fl
     sample, totals = examples(docs, labels, "toxic", per_class, folds)
     sample = cut(sample, "toxicity-examples")
     terms, found = example_terms(sample)
-    size, number = len(terms), {t: i for i, t in enumerate(terms)}
-    del terms
-    ids, y, rows = example_counts(sample, number)
-    texts = term_rows(docs, number, "toxicity-terms")
-    del number
-    n, df = document_frequencies(texts, size)
+    ids, y, rows = example_counts(sample, terms)
+    texts = term_rows(docs, terms, "toxicity-terms")
+    n, df = document_frequencies(texts, len(terms))
     weight = (np.log((1 + n) / (1 + df)) + 1) * telling(found, int((y == 0).sum()), int((y == 1).sum()), floor, full_z)
-    pa.default_memory_pool().release_unused()
-    sent = docs.sparkSession.sparkContext.broadcast(ToxicityModel(weight, ids, y, rows, totals, k, power, calibrate))
+    model = ToxicityModel(weight, ids, y, rows, totals, k, power, calibrate)
+    del terms, found, rows, df, weight
+    release()
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    del model
     evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())]))
 
     def of(batches):
@@ -405,7 +334,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 4096, fl
                 near = [[{"doc_id": d, "similarity": s, "label": y} for d, s, y in m[2]] for m in made]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([m[0] for m in made], pa.float64()), pa.array([m[1] for m in made], pa.int32()), pa.array(near, evidence)], ["doc_id", "score", "predicted", "evidence"])
 
-    scored = texts.mapInArrow(of, f"doc_id long, {SCHEMA}")
+    scored = texts.mapInArrow(thrifty(of), f"doc_id long, {SCHEMA}")
     return scored.select("doc_id", (crc_fold("doc_id", folds) == 0).alias("held_out"), "score", "predicted", "evidence")
 
 
