@@ -71,10 +71,12 @@ def zip_members(file, size: int) -> list[Member]:
     tail_at = max(0, size - 65_557)
     tail = file.read_at(size - tail_at, tail_at)
     k = tail.rfind(b"PK\x05\x06")
+    while k >= 0 and (k + 22 > len(tail) or k + 22 + struct.unpack_from("<H", tail, k + 20)[0] != len(tail)):
+        k = tail.rfind(b"PK\x05\x06", 0, k)  # these bytes were part of the comment
     if k < 0:
         raise ValueError("no end of a ZIP directory")
     n, length, start = struct.unpack_from("<H2I", tail, k + 10)
-    if 0xFFFF == n or 0xFFFFFFFF in (length, start):
+    if (0xFFFF == n or 0xFFFFFFFF in (length, start)) and tail_at + k >= 20:
         magic, _, where = struct.unpack("<4sIQ", file.read_at(16, tail_at + k - 20))
         if magic == b"PK\x06\x07":
             record = file.read_at(56, where)
@@ -133,8 +135,8 @@ def _headers(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def parse_record(raw: bytes) -> tuple:
-    """record_type, record_id, target_uri, payload_digest, refers_to, payload_bytes, payload of one gzipped record."""
-    head, rest = _headers(zlib.decompress(raw, 31))
+    """record_type, record_id, target_uri, payload_digest, refers_to, payload_bytes, payload of one record, gzipped or plain."""
+    head, rest = _headers(zlib.decompress(raw, 31) if raw[:2] == b"\x1f\x8b" else raw)
     block = rest[: int(head.get("content-length", 0))]
     if head.get("content-type", "").startswith("application/http"):
         http, payload = _headers(block)
@@ -158,8 +160,8 @@ def write_archives(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", min_rev
     manifest count, so a task that is run again does no harm.
 
     Null html: an empty payload. Null url: no target. Null page_id: its record id ends in "null"; it is a response only if
-    no row with an id has that payload. Repeated rows: each has a record, all of the least id are responses. Pages of any
-    length are held one at a time. An empty table gives an empty manifest; other columns are ignored.
+    no row with an id has that payload. Repeated rows: each has a record, all of the least id are responses. Memory is one
+    Arrow batch of pages. An empty table gives an empty manifest; other columns are ignored.
     """
     import pandas as pd
 
@@ -243,16 +245,16 @@ def archive_ranges(paths: DataFrame) -> DataFrame:
         if lengths:
             yield path, member.start + offset, lengths
 
-    def scan(file, member):
-        """Offsets and lengths of the gzip members of a stored WARC, read in pieces."""
-        at, begun, packer, used = 0, 0, zlib.decompressobj(31), False
-        while at < member.size or packer.unused_data:
+    def gzipped(read, at, end):
+        """Offsets and lengths of the gzip members from ``at`` to ``end``, read in pieces."""
+        begun, packer, used = at, zlib.decompressobj(31), False
+        while at < end or packer.unused_data:
             data = packer.unused_data
             if packer.eof:
                 yield begun, at - len(data) - begun
                 begun, packer, used = at - len(data), zlib.decompressobj(31), False
             if not data:
-                data = file.read_at(min(RANGE_BYTES, member.size - at), member.start + at)
+                data = read(min(RANGE_BYTES, end - at), at)
                 at += len(data)
             if data:
                 packer.decompress(data)
@@ -260,20 +262,50 @@ def archive_ranges(paths: DataFrame) -> DataFrame:
         if used and packer.eof:
             yield begun, at - begun
 
+    def plain(read, at, end):
+        """Offsets and lengths of records that are not compressed: each says how long its block is."""
+        while at < end:
+            head, more = b"", 4096
+            while b"\r\n\r\n" not in head and len(head) < end - at:
+                head = read(min(more, end - at), at)
+                more *= 4
+            before = head.partition(b"\r\n\r\n")[0]
+            if not before.startswith(b"WARC/"):
+                raise ValueError("no WARC record where one should begin")
+            length = len(before) + 4 + int(_headers(before + b"\r\n\r\n")[0].get("content-length", 0)) + 4
+            yield at, min(length, end - at)
+            at += length
+
+    def scan(file, member, at, end):
+        read = lambda n, k: file.read_at(n, member.start + k)
+        return (gzipped if read(2, at) == b"\x1f\x8b" else plain)(read, at, end)
+
+    def records(file, member, listed):
+        """Records of a member by its index; what the index leaves out is looked for in the member itself."""
+        at = 0
+        for offset, length in [*listed, (member.size, 0)]:
+            if at < offset:
+                yield from scan(file, member, at, offset)
+            if length and offset >= at:
+                yield offset, length
+            at = max(at, offset + length)
+
     def of_partition(batches):
         for pdf in batches:
             for path in pdf["path"]:
                 fs, where = file_system(path)
                 with fs.open_input_file(where) as file:
                     found = zip_members(file, file.size())
-                    stored = [m for m in found if m.name.startswith("archive/") and m.name.endswith((".warc.gz", ".warc")) and m.method == 0]
+                    warcs = [m for m in found if m.name.startswith("archive/") and m.name.endswith((".warc.gz", ".warc"))]
+                    if packed := [m.name for m in warcs if m.method]:
+                        raise ValueError(f"{path}: {packed[0]} is compressed by the package, so its records cannot be read by ranges")
                     index = next((m for m in found if m.name == INDEX and m.method == 0), None)
-                    for member in stored:
-                        if index is not None and len(stored) == 1:
-                            fields = (json.loads(line.split(" ", 2)[2]) for line in file.read_at(index.size, index.start).decode().splitlines())
-                            entries = sorted((f["offset"], f["length"]) for f in fields)
-                        else:
-                            entries = scan(file, member)
+                    for member in warcs:
+                        listed = []
+                        if index is not None and len(warcs) == 1:
+                            fields = (json.loads(line[line.index("{") :]) for line in file.read_at(index.size, index.start).decode().splitlines() if "{" in line)
+                            listed = sorted((int(f["offset"]), int(f["length"])) for f in fields if "offset" in f and "length" in f)
+                        entries = records(file, member, listed)
                         made = list(runs(path, member, entries))
                         yield pd.DataFrame({"path": [m[0] for m in made], "offset": [m[1] for m in made], "lengths": [m[2] for m in made]})
 
@@ -283,7 +315,9 @@ def archive_ranges(paths: DataFrame) -> DataFrame:
 def read_archives(paths: DataFrame) -> DataFrame:
     """RECORD rows of all records in the ZIP packages of ``paths`` (path): each range is read by itself, nothing is extracted.
 
-    ``warcinfo`` and other records come with their own type where the index lists them. A package without records gives no rows.
+    ``warcinfo`` and other records come with their own type. WARC members may be gzipped by record or plain; an index may
+    give offsets as text or leave records out, which are then found in the member. A member that the package itself
+    compresses raises an error that names it. A package without records gives no rows.
     """
     import pandas as pd
 
@@ -306,7 +340,7 @@ def read_archives(paths: DataFrame) -> DataFrame:
 
 
 def op2_warc_zip(spark, sf_dir: str) -> DataFrame:
-    records = read_archives(write_archives(table(spark, sf_dir, "pages")))
+    records = read_archives(write_archives(table(spark, sf_dir, "pages"))).where("record_type in ('response', 'revisit')")
     page = lambda c: F.expr(f"try_cast(substring_index({c}, ':', -1) as bigint)")
     response = F.col("record_type") == "response"
     return records.select(
