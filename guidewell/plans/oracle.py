@@ -80,6 +80,59 @@ peak as (select p_idx, max(w) as top from raw group by 1),
 scores as (select row_id, p_idx, {'case when top::float > 0 then (w::float / top::float)::float else 0::float end' if scaled else 'w::float'} as score from raw join peak using (p_idx))"""
 
 
+M = CELLS + MULTI + TESTS + UNION + PLAIN
+ALL = 6  # the intercept and five perturbations
+CO = """,
+together as (select a.p_idx as i, b.p_idx as j, count(*) as n from guide a join guide b using (row_id) group by 1, 2),
+place as (select unnest(range(6)) as i),
+n_of as (select i, j, n from together union all select 0, i, n from together where i = j union all select i, 0, n from together where i = j union all select 0, 0, count(*) from cells),
+g0 as materialized (select a.i, b.i as j, coalesce(n, 0)::double + case when a.i = b.i then 0.01::double else 0 end as v from place a cross join place b left join n_of on n_of.i = a.i and n_of.j = b.i where {within}),
+own as (select p_idx as i, gene_id, sum(y) as s from v join (select row_id, p_idx from guide union all select row_id, 0 from cells) using (row_id) group by 1, 2)"""
+
+
+def _eliminated(first: int) -> str:
+    """Gauss-Jordan steps over g0 (i, j, v) and r0 (i, gene_id, s); r6 holds the solution."""
+    out = ""
+    for k in range(ALL):
+        if k < first:
+            out += f""",
+g{k + 1} as materialized (from g{k}), r{k + 1} as materialized (from r{k})"""
+            continue
+        out += f""",
+g{k + 1} as materialized (select a.i, a.j, case when a.i = {k} then a.v / p.v else a.v - b.v * c.v / p.v end as v from g{k} a join g{k} p on p.i = {k} and p.j = {k} join g{k} b on b.i = a.i and b.j = {k} join g{k} c on c.i = {k} and c.j = a.j),
+r{k + 1} as materialized (select a.i, a.gene_id, case when a.i = {k} then a.s / p.v else a.s - b.v * c.s / p.v end as s from r{k} a join g{k} p on p.i = {k} and p.j = {k} join g{k} b on b.i = a.i and b.j = {k} join r{k} c on c.i = {k} and c.gene_id = a.gene_id)"""
+    return out
+
+
+MULTI_BETA = CO.format(within="true") + """,
+r0 as materialized (select i, gene_id, coalesce(s, 0) as s from place cross join uni left join own using (i, gene_id))""" + _eliminated(0) + """,
+beta as materialized (select i as p_idx, gene_id, s as b from r6),
+base as (select a.p_idx, sum(a.b * z.b) as base from beta a join beta z on z.p_idx = 0 and z.gene_id = a.gene_id where a.p_idx > 0 group by 1)"""
+MULTI_BACKGROUND = BACKGROUND_OF + CO.format(within="a.i > 0 and b.i > 0") + """,
+ex as (select p_idx as i, gene_id, sum(n * b) as e from (select p_idx, segment, count(*) as n from member where p_idx > 0 group by 1, 2) join bg using (segment) group by 1, 2),
+r0 as materialized (select i, gene_id, coalesce(s, 0) - coalesce(e, 0) as s from place cross join uni left join own using (i, gene_id) left join ex using (i, gene_id) where i > 0)""" + _eliminated(1) + """,
+beta as materialized (select i as p_idx, gene_id, s as b from r6 union all select 0, gene_id, 0 from uni),
+base as (select p_idx, segment, sum(a.b * bg.b) as base from beta a join bg using (gene_id) where p_idx > 0 group by 1, 2)"""
+
+
+def _multi_score(on: str) -> str:
+    """One perturbation in closed form; two by the nine ways to free them or hold them at 0 or 3, the best within bounds, the first of equals."""
+    ways = "[{w: 0, a: (r1 * g22 - r2 * g12) / det, b: (r2 * g11 - r1 * g12) / det}, {w: 1, a: r1 / g11, b: 0}, {w: 2, a: (r1 - 3 * g12) / g11, b: 3}, {w: 3, a: 0, b: r2 / g22}, {w: 4, a: 0, b: 0}, {w: 5, a: 0, b: 3}, {w: 6, a: 3, b: (r2 - 3 * g12) / g22}, {w: 7, a: 3, b: 0}, {w: 8, a: 3, b: 3}]"
+    return f""",
+norm as (select p_idx, sum(b * b) as norm from beta where p_idx > 0 group by 1),
+cross_of as (select x.p_idx as p1, y.p_idx as p2, sum(x.b * y.b) as g12 from beta x join beta y using (gene_id) where x.p_idx between 1 and y.p_idx - 1 group by 1, 2),
+dots as (select row_id, p_idx, sum(y * b) as dot from v join guide using (row_id) join beta using (p_idx, gene_id) group by 1, 2),
+right_of as materialized (select m.row_id, m.p_idx, coalesce(dot, 0) - base as r, norm, count(*) over (partition by m.row_id) as k from guide m join norm using (p_idx) join base using ({on}) left join dots using (row_id, p_idx)),
+one as (select row_id, p_idx, (case when norm > 0 then least(greatest(r / norm, 0), 3) / 3 else 0 end)::float as s from right_of where k = 1),
+two as (select x.row_id, x.p_idx as p1, y.p_idx as p2, x.norm as g11, y.norm as g22, g12, x.r as r1, y.r as r2, x.norm * y.norm - g12 * g12 as det from right_of x join right_of y on y.row_id = x.row_id and x.p_idx < y.p_idx join cross_of on p1 = x.p_idx and p2 = y.p_idx where x.k = 2),
+way as (select row_id, p1, p2, g11, g12, g22, r1, r2, unnest({ways}, recursive := true) from two),
+inside as (select row_id, p1, p2, w, least(greatest(a, 0), 3) as a, least(greatest(b, 0), 3) as b, g11, g12, g22, r1, r2 from way where a between -1e-9 and 3 + 1e-9 and b between -1e-9 and 3 + 1e-9),
+best as (select row_id, p1, p2, a, b from inside qualify row_number() over (partition by row_id order by 0.5 * (g11 * a * a + 2 * g12 * a * b + g22 * b * b) - r1 * a - r2 * b, w) = 1),
+raw as (from one union all select row_id, p1, (a / 3)::float from best union all select row_id, p2, (b / 3)::float from best),
+peak as (select p_idx, max(s) as top from raw group by 1),
+scores as (select row_id, p_idx, case when top > 0 then (s / top)::float else 0::float end as score from raw join peak using (p_idx))"""
+
+
 S = CELLS + SINGLE
 T = S + TESTS
 U = T + UNION
@@ -125,9 +178,20 @@ ORACLE_SQL = {
     "ps_score_clipped": f"with {U + CLIPPED + RIDGE + _score('p_idx')}{OUT}",
     "cooccurrence": f"with {CELLS + MULTI} select a.p_idx as p1, b.p_idx as p2, count(*) as n from guide a join guide b using (row_id) group by 1, 2",
     "xty": f"with {CELLS + MULTI} select p_idx, gene_id, round(sum(y), 6) as s from y join (select row_id, p_idx from guide union all select row_id, 0 from cells) using (row_id) group by 1, 2",
+    "beta_multilabel": f"with {M + MULTI_BETA}{BETA}",
+    "ps_score_multilabel": f"with {M + MULTI_BETA + _multi_score('p_idx')}{OUT}",
+    "ps_score_multilabel_background": f"with {M + MULTI_BACKGROUND + _multi_score('p_idx, segment')}{OUT}",
+    "effect_grams": f"""with {M + MULTI_BETA}, sets as (select distinct active from (select row_id, list_sort(list(p_idx)) as active from guide group by 1) where len(active) > 1),
+      pairs as (select active, unnest(active) as p1 from sets), every as (select active, p1, unnest(active) as p2 from pairs)
+      select array_to_string(active, ',') as active, p1, p2, round(sum(x.b * y.b), 6) as g from every join beta x on x.p_idx = p1 join beta y on y.p_idx = p2 and y.gene_id = x.gene_id group by 1, 2, 3""",
     "target_metadata": f"with {U + PLAIN + RIDGE} select perturbation, n as cell_count, (select count(*) from top where top.p_idx = pert.p_idx) as selected_gene_count, (select count(*) from passing where passing.p_idx = pert.p_idx) as passing_gene_count, round((select sum(b * b) from beta where beta.p_idx = pert.p_idx), 6) as beta_norm_sq from pert join cnt using (p_idx)",
     "dense_summary": """with e as (select generate_subscripts(embedding, 1) - 1 as gene_id, unnest(embedding)::double as y from embeddings), s as (select gene_id, count(*) as n, sum(y) as s, sum(y * y) as q from e group by 1)
       select cast(gene_id as integer) as gene_id, n, round(s / n, 6) as mean, round(case when n > 1 then greatest(q / n - (s / n) * (s / n), 0) * n / (n - 1) else 0 end, 6) as var from s""",
+    "welch_of_dense_rows": """with e as (select label, generate_subscripts(embedding, 1) - 1 as gene_id, unnest(embedding)::double as y from embeddings where label in (0, 1)),
+      s as (select label, gene_id, count(*) as n, avg(y) as m, greatest(sum(y * y) / count(*) - avg(y) * avg(y), 0) * count(*) / (count(*) - 1) as v from e group by 1, 2)
+      select cast(a.gene_id as integer) as gene_id, round((a.m - b.m) / sqrt(a.v / a.n + b.v / b.n), 6) as t from s a join s b on a.gene_id = b.gene_id where a.label = 1 and b.label = 0""",
+    "exact_clip": f"""with {CELLS}, q as (select gene_id, quantile_cont(coalesce(y.y, 0), 0.95) as clip from cells cross join genes left join y using (row_id, gene_id) group by 1)
+      select row_id, gene_id, round(least(y, clip), 6) as y from y join q using (gene_id) where least(y, clip) <> 0""",
 }
 # two of the perturbations only: cells of the others are neither controls nor scored
 _TWO = U.replace("where priority <> '5-LOW' group by 1)", "where priority in ('2-HIGH', '3-MEDIUM') group by 1)").replace("cast(row_number() over (order by first) as integer)", "case perturbation when '2-HIGH' then 1 else 2 end", 1).replace("coalesce(p_idx, 0) as p_idx from cells left join pert on priority = perturbation", "coalesce(p_idx, 0) as p_idx from cells left join pert on priority = perturbation where priority in ('2-HIGH', '3-MEDIUM', '5-LOW')", 1)

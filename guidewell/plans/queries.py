@@ -244,7 +244,31 @@ def ps_score_multilabel_background(spark, d):
 
 def effect_grams(spark, d):
     out = run(order_screen(spark, d), **MULTI)
-    return score.grams(_Screen(spark, d, "multilabel").cells, out.beta).select(F.concat_ws(",", F.col("active").cast("array<string>")).alias("active"), F.concat_ws(",", F.transform("gram", lambda g: F.format_number(g, 4))).alias("gram"))
+    found = score.grams(_Screen(spark, d, "multilabel").cells, out.beta)
+    cell = F.posexplode("gram").alias("at", "g")
+    size = F.size("of")
+    rows = found.select(F.col("active").alias("of"), F.concat_ws(",", F.col("active").cast("array<string>")).alias("active"), cell)
+    return rows.select("active", F.get("of", F.floor(F.col("at") / size).cast("int")).alias("p1"), F.get("of", F.col("at") % size).alias("p2"), r6("g"))
+
+
+def ps_score_wide(spark, d):
+    """Up to five perturbations a cell."""
+    return _scores(run(order_screen(spark, d), perturb_column="wide", ctrl_name="control", mode="multilabel", target_gene_max=TOP, logfc_threshold=THRESHOLD))
+
+
+def welch_of_dense_rows(spark, d):
+    """Welch's t of each position between the vectors of two labels."""
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vector"), "label").where("label in (0, 1)")
+    sparse = dense_rows(rows).join(rows.select("row_id", "label"), "row_id").select("label", F.explode(F.arrays_zip("indices", "values")).alias("e")).select("label", F.col("e.indices").alias("gene_id"), F.col("e.values").alias("y"))
+    n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    return targets.welch_of_matrices(sparse.where("label = 1"), sparse.where("label = 0"), sparse.select("gene_id").distinct(), n.get(1, 0), n.get(0, 0)).select("gene_id", r6("t"))
+
+
+def exact_clip(spark, d):
+    """Entries with their values limited by the gene's exact quantile; those that become 0 go."""
+    data = order_screen(spark, d)
+    rows = normalized(data.expr, SUM).select("row_id", F.explode("entries").alias("e")).select("row_id", "e.gene_id", "e.y")
+    return clip.clip_exactly(rows, data.genes, data.cells.count(), 0.95).select("row_id", "gene_id", r6("y"))
 
 
 def target_metadata(spark, d):
@@ -264,5 +288,5 @@ def dense_summary(spark, d):
 QUERIES = {f.__name__: f for f in (
     scan_cells, scan_expr, scan_layer, labels_single, labels_multi, ordered_perturbations, guides, active_set_groups, guide_multiplicity, cluster_codes, resolve_labels, normalize, log_normalize, group_moments,
     group_moments_multi, linear_means, welch_t, log2fc, topk_abs, topk_signed, union_targets, hvg_targets, beta_single, ps_score_single, ps_score_unscaled, ps_score_hvg, long_table, cluster_background, beta_background,
-    ps_score_background, clip_histogram, clip_values, exact_quantiles, ps_score_clipped, cooccurrence, xty, beta_multilabel, beta_norms, ps_score_multilabel, ps_score_multilabel_background, effect_grams, target_metadata, dense_summary,
+    ps_score_background, clip_histogram, clip_values, exact_quantiles, ps_score_clipped, cooccurrence, xty, beta_multilabel, beta_norms, ps_score_multilabel, ps_score_multilabel_background, ps_score_wide, effect_grams, target_metadata, dense_summary, welch_of_dense_rows, exact_clip,
 )} | {"library_size": library_sizes}

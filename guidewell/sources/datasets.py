@@ -82,7 +82,9 @@ def order_screen(spark: SparkSession, sf_dir: str) -> PerturbData:
     customers = read("customer", "c_custkey", "c_mktsegment")
     priority, status = F.col("o_orderpriority"), F.col("o_orderstatus")
     combo = F.when(priority == "5-LOW", "control").when(status == "F", priority).when(status == "O", F.concat(priority, F.lit("+O"))).otherwise(F.lit("O"))
-    cells = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"), "left").select(F.col("o_orderkey").alias("row_id"), F.col("o_orderkey").cast("string").alias("obs_index"), priority.alias("priority"), combo.alias("combo"), F.col("c_mktsegment").alias("segment"))
+    also = [F.when(status == "O", "O"), *[F.when(F.col("o_custkey") % k == 0, F.lit(name)) for k, name in ((2, "second"), (3, "third"), (5, "fifth"))]]
+    wide = F.when(priority == "5-LOW", "control").otherwise(F.concat_ws("+", priority, *also))
+    cells = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"), "left").select(F.col("o_orderkey").alias("row_id"), F.col("o_orderkey").cast("string").alias("obs_index"), priority.alias("priority"), combo.alias("combo"), wide.alias("wide"), F.col("c_mktsegment").alias("segment"))
     parts = read("part", "p_partkey", "p_brand")
     genes = parts.select("p_brand").distinct().select((F.row_number().over(Window.orderBy("p_brand")) - 1).alias("gene_id"), F.col("p_brand").alias("gene_name"), (F.substring("p_brand", -1, 1).cast("int") % 2 == 0).alias("highly_variable"))
     brand = parts.join(F.broadcast(genes.select("gene_id", "gene_name")), F.col("p_brand") == F.col("gene_name")).select("p_partkey", "gene_id")
