@@ -69,18 +69,18 @@ def near_effects(beta: DataFrame, background: DataFrame | None, clip: DataFrame
         if 8 * len(names) * (len(genes) + n_perturbations) > model.BROADCAST_BYTES:
             return None
     place = lambda column: np.searchsorted(genes, column.to_numpy())
-    found = beta.toPandas()
+    found = beta.toArrow()
     b = np.zeros((n_perturbations + 1, len(genes)))
     b[found["p_idx"].to_numpy(), place(found["gene_id"])] = found["b"].to_numpy()
     made = Effects(genes, b[1:], (b[1:] @ b[0])[None, :])
     if clip is not None:
-        found = clip.toPandas()
+        found = clip.toArrow()
         made.clip = np.zeros(len(genes))
         made.clip[place(found["gene_id"])] = found["clip"].to_numpy()
     if background is not None:
-        found, made.clusters = background.toPandas(), {c: i for i, c in enumerate(names)}
+        found, made.clusters = background.toArrow(), {c: i for i, c in enumerate(names)}
         means = np.zeros((len(names) + 1, len(genes)))  # the last row: clusters without controls, which no modelled cell is in
-        means[found["cluster"].map(made.clusters).to_numpy(int), place(found["gene_id"])] = found["b"].to_numpy()
+        means[np.array([made.clusters[c] for c in found["cluster"].to_pylist()], int), place(found["gene_id"])] = found["b"].to_numpy()
         made.base = means @ made.effect.T
     return made
 

@@ -101,12 +101,13 @@ def run(
         sums = keep(stats.group_sums(model))
         tests = targets.passing(targets.gene_tests(sums, counts_table, data.genes, table), logfc_threshold)
         ranked = targets.top_genes(tests, target_gene_max, rank_by_abs_t)
+    found = ranked.join(data.genes.select("gene_id", "gene_name"), "gene_id").select("p_idx", "rank", "gene_id", "passing", "gene_name").toArrow()  # target_gene_max a perturbation
     picked: dict[int, list[int]] = {}
-    passed: dict[int, int] = {}
-    names: dict[int, str] = {}
-    for r in ranked.join(data.genes.select("gene_id", "gene_name"), "gene_id").orderBy("p_idx", "rank").collect():  # target_gene_max a perturbation
-        picked.setdefault(r["p_idx"], []).append(r["gene_id"])
-        passed[r["p_idx"]], names[r["gene_id"]] = r["passing"], r["gene_name"]
+    passed: dict[int, int] = dict(zip(found["p_idx"].to_pylist(), found["passing"].to_pylist(), strict=True))
+    names: dict[int, str] = dict(zip(found["gene_id"].to_pylist(), found["gene_name"].to_pylist(), strict=True))
+    found = found.select(["p_idx", "rank", "gene_id"]).sort_by([("p_idx", "ascending"), ("rank", "ascending")])
+    for p, g in zip(found["p_idx"].to_pylist(), found["gene_id"].to_pylist(), strict=True):
+        picked.setdefault(p, []).append(g)
     union_genes = list(dict.fromkeys(g for p in sorted(picked) for g in picked[p]))
     union = spark.createDataFrame([(g, k) for k, g in enumerate(union_genes)], "gene_id int, position int")
     clock.done("target_stats")

@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-FAST = ["scan_cells", "scan_expr", "scan_layer", "labels_single", "labels_multi", "ordered_perturbations", "guides", "active_set_groups", "cluster_codes", "normalize", "group_moments", "welch_t", "topk_abs", "union_targets", "hvg_targets", "cluster_background", "clip_histogram", "clip_values", "exact_quantiles", "cooccurrence", "xty", "dense_summary", "ps_score_single"]
+FAST = ["scan_cells", "scan_expr", "scan_layer", "labels_single", "labels_multi", "ordered_perturbations", "guides", "active_set_groups", "cluster_codes", "normalize", "group_moments", "welch_t", "topk_abs", "union_targets", "hvg_targets", "cluster_background", "clip_histogram", "clip_values", "exact_quantiles", "cooccurrence", "xty", "dense_summary", "ps_score_single", "beta_multilabel", "ps_score_multilabel", "ps_score_multilabel_background", "effect_grams", "welch_of_dense_rows", "exact_clip"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 
