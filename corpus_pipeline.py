@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guidewell.llm.common import cut, table
+from guidewell.llm.common import bounded_batches, cut, near_or_exchanged, table
 from guidewell.llm.components import components
 from guidewell.llm.mixing import mix_sources
 from guidewell.llm.near_copies import near_copies
@@ -19,39 +19,49 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are predicted toxic go. A document without an id cannot be told from others and stays."""
     scored = score_toxicity(docs, table(spark, sf_dir, "labels"))
     toxic = cut(scored.where("predicted = 1 and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct(), "toxic-ids")
-    return docs.join(toxic, F.col("doc_id") == F.col("__id"), "left_anti")
+    return docs.join(near_or_exchanged(toxic), F.col("doc_id") == F.col("__id"), "left_anti")
+
+
+def _set_aside(docs: DataFrame, *read: str) -> tuple[DataFrame, list]:
+    """``docs`` with all columns but those that are ``read`` under names of their own, and the columns that undo it: an operator's names clash with none."""
+    names = [c if c in read else f"__{i}" for i, c in enumerate(docs.columns)]
+    return docs.select([F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)]), [F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return quality_rules(docs).where("kept").select(*docs.columns)
+    bounded_batches(spark)
+    plain, back = _set_aside(docs, "text")
+    return quality_rules(plain).where("kept").select(*back)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (Jaccard similarity of five-word shingles of 0.8 or more, or op3's link between
-    fingerprints), joined by links, the document with the least id stays; of repeated ids one row stays, the least by its other columns;
+    """Of each group of near copies (Jaccard similarity of five-word shingles of 0.8 or more, or a link between
+    SimHash fingerprints of five-word shingles), joined by links, the document with the least id stays; of repeated ids one row stays, the least by its other columns;
     documents without an id link with nothing and stay."""
-    found = cut(simhash_components(docs.select("doc_id", "text")).select(F.col("doc_id").alias("u"), F.col("component_id").alias("v")), "fingerprint-links")
-    gone = components(found.where("u <> v").unionByName(near_copies(docs.select("doc_id", "text")))).select("node")
-    first = cut(found.where("u is not null").join(gone, F.col("u") == F.col("node"), "left_anti").select(F.col("u").alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("__n")).withColumnRenamed("doc_id", "__id"), "kept-ids")
-    kept = docs.join(first, F.col("doc_id") == F.col("__id")).drop("__id")
-    if first.where("__n > 1").isEmpty():
-        kept = kept.drop("__n")
-    else:
-        others = [c for c in docs.columns if c != "doc_id"]
-        once = kept.where("__n > 1").groupBy("doc_id").agg(F.min(F.struct(*others)).alias("r")).select("doc_id", *[F.col(f"r.{c}").alias(c) for c in others])
-        kept = kept.where("__n = 1").drop("__n").unionByName(once.select(*docs.columns))
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    found = cut(simhash_components(docs.select("doc_id", "text"), size=5).select(F.col("doc_id").alias("u"), F.col("component_id").alias("v")), "fingerprint-links")
+    edges = near_copies(docs.select("doc_id", "text"))
+    gone = cut(components(found.where("u <> v").unionByName(edges)).select(F.col("node").alias("__id")), "copy-ids")
+    kept = docs.join(near_or_exchanged(gone), F.col("doc_id") == F.col("__id"), "left_anti")
+    again = cut(found.where("u is not null").groupBy("u").count().where("count > 1").select(F.col("u").alias("__id")), "repeated-ids")
+    if again.isEmpty():
+        return kept
+    again = near_or_exchanged(again)
+    others = [c for c in docs.columns if c != "doc_id"]
+    once = kept.join(again, F.col("doc_id") == F.col("__id"), "left_semi").groupBy("doc_id").agg(F.min(F.struct(*others)).alias("__r")).select("doc_id", *[F.col(f"__r.{c}").alias(c) for c in others])
+    return kept.join(again, F.col("doc_id") == F.col("__id"), "left_anti").unionByName(once.select(*docs.columns))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
-    mixed = mix_sources(docs, carry=True).where("copies > 0")
-    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    plain, back = _set_aside(docs, "doc_id", "text", "source")
+    mixed = mix_sources(plain, carry=True).where("copies > 0")
+    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*back)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 1024 tokens."""
+    bounded_batches(spark)
     return digest(pack_documents(docs, tokenizer_path()))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,7 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 #: Texts go to Python workers in batches of about so many bytes, unless the session says otherwise: documents differ too much in length for a number of rows.
-BATCH_BYTES = "8m"
+BATCH_BYTES = "4m"
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -25,9 +26,11 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or on a single machine one of our own where that is unset (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="guidewell-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -97,10 +100,24 @@ def release() -> None:
         trim(0)
 
 
-def thrifty(of):
-    """A function over batches that ends by giving memory back: the worker's next task may be another stage's."""
+#: What a Python worker keeps from task to task, by owner.
+WORKER_CACHES: dict[str, dict] = {}
+
+
+def forget(owner: str) -> None:
+    """Let go of what tasks of other owners have kept in this worker."""
+    others = [cache for name, cache in WORKER_CACHES.items() if name != owner and cache]
+    for cache in others:
+        cache.clear()
+    if others:
+        release()
+
+
+def thrifty(of, owner: str = ""):
+    """A function over batches that first lets go of what other stages' tasks have kept in the worker, and in the end gives memory back."""
 
     def run(batches):
+        forget(owner)
         try:
             yield from of(batches)
         finally:

@@ -11,17 +11,17 @@ from pyspark.sql import functions as F
 from .common import crc_fold
 
 #: Text is handled in slices of about so many bytes.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 4 << 20
 
 
-def coded(texts: pa.Array, lower: str | None = None):
+def coded(texts: pa.Array, lower: str | None = None, slice_bytes: int = SLICE_BYTES):
     """Yield (lo, hi, words, codes, starts) for slices of a text column: the slice's distinct words (split at the six
     white-space characters), the code of each word in turn, and where each text's words start (one more at the end).
     ``lower``: "ascii" or "utf8". Null texts have no words."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     if not len(texts):
         return
-    at = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // SLICE_BYTES
+    at = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // slice_bytes
     cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(texts)]
     for a, b in zip(cuts, cuts[1:], strict=False):
         part = texts.slice(a, b - a)
@@ -46,7 +46,7 @@ def examples(docs: DataFrame, labels: DataFrame, label: str, per_class: int, fol
     """At most ``per_class`` labelled training texts of either class, by hash of their id, with all classes' totals.
 
     Training rows are those whose crc32(doc_id as text) mod ``folds`` is not 0. Ids with a null label, or both labels, are
-    left out. The ids are a bounded table (``per_class`` of 8 bytes a class), so the texts are found without an exchange.
+    left out, and so are texts whose copies have both. The ids are a bounded table (``per_class`` of 8 bytes a class), so the texts are found without an exchange.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     known = known.where(crc_fold("doc_id", folds) != 0).groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most")
@@ -55,7 +55,8 @@ def examples(docs: DataFrame, labels: DataFrame, label: str, per_class: int, fol
     ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["y"]) for r in chosen], "ex_id long, y int")
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), F.col("doc_id") == F.col("ex_id"))
     # copies of one text are one example: they would pass for independent evidence
-    return found.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.min("y").alias("y")).select("doc_id", "text", "y"), totals
+    one = found.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.min("y").alias("y"), F.max("y").alias("most")).where("y = most")
+    return one.select("doc_id", "text", "y"), totals
 
 
 def logit(p):

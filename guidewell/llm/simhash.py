@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop, opaque, table
+from .common import cut, drop, opaque, table, thrifty
 from .components import components
 
 
@@ -192,7 +192,7 @@ def fingerprints(docs: DataFrame, size: int = 4, seed: int = 42) -> DataFrame:
             fp = [fingerprint(t.encode("utf-8", "surrogatepass"), size, seed) if t else 0 for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": np.array(fp, np.int64)})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(of, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(thrifty(of), "doc_id long, fp long")
 
 
 def simhash_components(docs: DataFrame, size: int = 4, seed: int = 42, radius: int = 4, shard_limit: int = 4096) -> DataFrame:

@@ -50,3 +50,39 @@ def test_near_copies_leave_one(spark):
         kept.add(min(group))
     out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
     assert len(kept) < 100 and {r["doc_id"] for r in out.collect()} == kept
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_columns_of_any_name_pass_through(spark):
+    """Names that operators give to their own columns, in every stage but the last."""
+    from pyspark.sql import functions as F
+
+    clash = ["copies", "ratio", "n_words", "kept", "score", "predicted", "key", "n", "rid", "size", "u", "component_id", "__n", "count"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 40").select("doc_id", "text", "source").withColumns({c: F.concat(F.lit("user-"), F.col("doc_id")) for c in clash})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        found = out.collect()
+        assert found and all(r[c] == f"user-{r.doc_id}" for r in found for c in clash), name
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_near_duplicates_equal_brute_force(spark):
+    from guidewell.llm.common import table
+    from guidewell.llm.simhash import fingerprint
+
+    docs = table(spark, SF, "documents")
+    rows = [(r.doc_id, (r.text or "").encode().lower().split()) for r in docs.collect()]
+    grams = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in rows}
+    prints = {i: fingerprint(b" ".join(w), 5) for i, w in rows}
+    near = lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 4 or grams[i] and len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j])
+    left, kept = {i for i, _ in rows}, set()
+    while left:
+        group, todo = set(), [min(left)]
+        while todo:
+            group.update(todo)
+            left.difference_update(todo)
+            todo = [j for j in left if any(near(i, j) for i in todo)]
+        kept.add(min(group))
+    out = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert {r.doc_id for r in out.collect()} == kept and out.count() == len(kept) < len(rows)
