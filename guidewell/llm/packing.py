@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, thrifty
 from .tokens import encoder, with_end
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -147,19 +147,18 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int
 
         def flush():
             nonlocal own, held, tokens
-            ids = np.concatenate([h[1] for h in held]).astype("<u4")
+            ids = np.concatenate([h[1] for h in held])
             totals = np.concatenate([h[2] for h in held])
             key = pa.concat_arrays([h[0] for h in held])
+            held, tokens = [], 0
             pieces, n_seq = pack(totals, window)
             starts = (np.cumsum(totals) - totals)[pieces[:, 0]] + pieces[:, 1]
-            data, n = ids.tobytes(), pieces[:, 2]
-            blobs = [data[4 * s : 4 * (s + k)] for s, k in zip(starts.tolist(), n.tolist(), strict=True)]
-            columns = [key.take(pa.array(pieces[:, 0])), pieces[:, 1], n, totals[pieces[:, 0]], pieces[:, 3] + own, pieces[:, 4], pa.array(blobs, pa.binary())]
+            for k in range(0, len(pieces), 2048):  # ids as they are sent, a few pieces at a time
+                own_pieces = pieces[k : k + 2048]
+                blobs = [ids[s : s + n].astype("<u4").tobytes() for s, n in zip(starts[k : k + 2048].tolist(), own_pieces[:, 2].tolist(), strict=True)]
+                columns = [key.take(pa.array(own_pieces[:, 0])), own_pieces[:, 1], own_pieces[:, 2], totals[own_pieces[:, 0]], own_pieces[:, 3] + own, own_pieces[:, 4], pa.array(blobs, pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
             own += n_seq
-            held, tokens = [], 0
-            out = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
-            for k in range(0, len(out), 4096):
-                yield out.slice(k, 4096)
 
         for batch in batches:
             for k in range(0, len(batch), 1000):
@@ -172,7 +171,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int
         if held:
             yield from flush()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(of_partition, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(thrifty(of_partition, "tokens"), SCHEMA)
 
 
 def digest(pieces: DataFrame) -> DataFrame:

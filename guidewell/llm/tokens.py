@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 
@@ -9,10 +10,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import WORKER_CACHES
+
 #: Words and stems a worker remembers before it starts afresh (about 150 bytes each).
-REMEMBERED = 700_000
+REMEMBERED = 200_000
 #: Text is handled in slices of about so many bytes, so memory does not depend on the batch.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 2 << 20
 #: Marks at the end of a word; both vocabularies cut between a letter and these.
 _TAIL = re.compile(r"[.,;:!?]+\Z")
 #: A space that follows white space: there the cut before a space is no cut of the tokenizer.
@@ -62,6 +65,7 @@ class Encoder:
     """
 
     def __init__(self, path: str, spaces: bool):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core, and each thread would keep memory of its own
         from tokenizers import Tokenizer
 
         self.tokenizer, self.spaces = Tokenizer.from_file(path), spaces
@@ -176,7 +180,7 @@ class Encoder:
         return np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
 
 
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = WORKER_CACHES.setdefault("tokens", {})
 
 
 def encoder(path: str, spaces: bool) -> Encoder:
