@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, near_or_exchanged
 
 UNIT = "struct<size:bigint,doc_id:bigint,rid:bigint,p:double>"
 DONE = "array<struct<size:bigint,doc_id:bigint,rid:bigint,up:int>>"
@@ -164,10 +164,10 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     done = reduce(DataFrame.unionByName, [t.select(F.inline("acc.out")).select("rid", "up") for t in levels])
     ups = done.where("up = 1").select(F.col("rid").alias("up_rid"))
     rows = rows.join(ups, F.col("rid") == F.col("up_rid"), "left").withColumn("copies", F.col("whole") + F.when(F.col("up_rid").isNotNull(), 1).otherwise(0))
-    if unique:
-        return docs.join(rows.where("copies > 0").select(F.col("rid").alias("__rid"), "copies"), F.col("doc_id") == F.col("__rid")).select(*given, "copies")
-    if carry:
-        return sized.join(rows.where("copies > 0").select(F.col("rid").alias("__rid"), "copies"), "__rid").select(*given, "copies")
+    if carry:  # whole rows stay where they are while the ids taken are few enough to send
+        taken = cut(rows.where("copies > 0").select(F.col("rid").alias("__taken"), "copies"), "taken")
+        whole, key = (docs, "doc_id") if unique else (sized, "__rid")
+        return whole.join(near_or_exchanged(taken), F.col(key) == F.col("__taken")).select(*given, "copies")
     return rows.select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
