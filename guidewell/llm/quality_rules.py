@@ -7,7 +7,7 @@ from collections import Counter
 
 from pyspark.sql import DataFrame
 
-from .common import SPACES, table, words_of
+from .common import SPACES, table, thrifty, words_of
 
 SYMBOLS = "#*$%&|<>"
 #: Bands by UTF-8 length: up to so many bytes, a ratio (bytes / compressed bytes) must lie within [low, high]. Prose of
@@ -48,7 +48,7 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
 class Bands:
     """Ratio limits by length, and the verdict on a text."""
 
-    def __init__(self, bands=BANDS, level: int = 3, chunk: int = 4096, bad_share: float = 0.2):
+    def __init__(self, bands=BANDS, level: int = 3, chunk: int = 4096, bad_share: float = 0.05):
         import zstandard
 
         self.edges, self.limits = [b[0] for b in bands], [b[1:] for b in bands]
@@ -83,7 +83,7 @@ def rule(text: str | None, bands: Bands, min_words: int = 50, max_repeat: float
     return (*counts, failed, ratio, chunks, bad, "base" if failed else why, not failed and why is None)
 
 
-def quality_rules(docs: DataFrame, bands=BANDS, level: int = 3, chunk: int = 4096, bad_share: float = 0.2, min_words: int = 50, max_repeat: float = 0.5) -> DataFrame:
+def quality_rules(docs: DataFrame, bands=BANDS, level: int = 3, chunk: int = 4096, bad_share: float = 0.05, min_words: int = 50, max_repeat: float = 0.5) -> DataFrame:
     """Add the columns of SCHEMA to ``docs``, which has ``text``: base counts, ratio, chunk verdicts and ``kept``.
 
     A text is kept if it has ``min_words`` words, at most ``max_repeat`` of them in repeated 3-word windows, a whole-text
@@ -105,7 +105,7 @@ def quality_rules(docs: DataFrame, bands=BANDS, level: int = 3, chunk: int = 409
             made = pd.DataFrame([rule(t, own, min_words, max_repeat) for t in pdf["text"]], columns=names, index=pdf.index)
             yield pd.concat([pdf, made], axis=1)
 
-    return docs.mapInPandas(judge, ", ".join([*fields, SCHEMA]))
+    return docs.mapInPandas(thrifty(judge), ", ".join([*fields, SCHEMA]))
 
 
 def op5_compression_bands(spark, sf_dir: str) -> DataFrame:

@@ -38,21 +38,29 @@ class BlockMaxIndex:
         dense = np.sort(dense[often[dense] > dense_share * self.n])
         self.column = np.full(n_terms, -1, np.int32)
         self.column[dense] = np.arange(len(dense))
-        own = self.column[term] >= 0
+        place = self.column[term]
+        own = place >= 0
         self.table = np.zeros((self.n, len(dense)))
-        self.table[ex[own], self.column[term[own]]] = weight[own]
+        self.table[ex[own], place[own]] = weight[own]
         self.coarse = np.zeros((len(dense), self.n_blocks * block), np.float32)
         self.coarse[:, : self.n] = self.table.T
-        ex, weight, term = ex[~own], weight[~own], term[~own]
-        order = np.argsort(term.astype(np.int64) * max(1, n) + ex)
-        ex, self.weight, term = ex[order].astype(np.int32), weight[order], term[order].astype(np.int64)
-        self.start = np.searchsorted(term, np.arange(n_terms + 1))
-        first = np.flatnonzero(np.diff(term * self.n_blocks + ex // block, prepend=-1))
-        self.best = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        del place
+        np.logical_not(own, out=own)
+        ex, weight, term = ex[own].astype(np.int32), weight[own], term[own].astype(np.int32)
+        del own
+        order = term.astype(np.int64)
+        order *= max(1, n)
+        order += ex
+        order = np.argsort(order)
+        ex, weight, term = ex[order], weight[order], term[order]
+        del order
+        self.ex, self.weight, self.start = ex, weight, np.searchsorted(term, np.arange(n_terms + 1, dtype=np.int32)).astype(np.int32)
+        group = ex // block
+        first = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (group[1:] != group[:-1])))[: len(ex)]).astype(np.int32)
+        self.best = np.maximum.reduceat(weight, first) if len(first) else np.zeros(0)
         self.at = np.append(first, len(ex)).astype(np.int32)
-        self.blocks = (ex[first] // block).astype(np.int32)
-        self.block_start = np.searchsorted(term[first], np.arange(n_terms + 1))
-        self.ex = ex
+        self.blocks = group[first]
+        self.block_start = np.searchsorted(term[first], np.arange(n_terms + 1, dtype=np.int32)).astype(np.int32)
 
     def _sums(self, at, n: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Parts of the cosines of all examples over postings ``at`` (places, or slices), ``n`` of them in turn with the query weight ``w``; terms add up in one order."""
@@ -135,7 +143,10 @@ class ToxicityModel:
         n = np.array([max(1, int((y == c).sum())) for c in (0, 1)])
         self.class_weight = np.array([totals.get(0, 0), totals.get(1, 0)]) / n  # examples stand for all labelled rows of their class
         terms, counts, starts = rows
-        weight, ex = (1 + np.log(counts)) * idf[terms], owners(starts)
+        ex = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(starts))
+        weight = np.log(counts)
+        weight += 1
+        weight *= idf[terms]
         weight /= np.sqrt(np.bincount(ex, weights=weight * weight, minlength=len(y)))[ex]
         self.index = BlockMaxIndex(len(y), ex, terms, weight, len(idf))
         w = self.class_weight[y]
@@ -166,7 +177,7 @@ class ToxicityModel:
 
     def score(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, int, list]]:
         """Score, prediction and the three nearest of texts given as terms and counts; texts seen before are not searched again."""
-        if len(self.seen) > 20_000:
+        if len(self.seen) > 8_000:
             self.seen.clear()
         vectors = [self.vector(*r) for r in rows]
         keys = [blake2b(t.tobytes() + w.tobytes(), digest_size=16).digest() if len(t) else None for t, w in vectors]
@@ -256,14 +267,12 @@ def term_rows(docs: DataFrame, vocabulary: np.ndarray, name: str, *more: str) ->
     return out
 
 
-def opened(column) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Terms and counts of each row of a column that term_rows made."""
-    made = []
+def opened(column):
+    """Yield the terms and counts of each row of a column that term_rows made."""
     for data in column:
         both = np.frombuffer(data.as_py(), "<u4").astype(np.int64)
         half = len(both) // 2
-        made.append((np.cumsum(both[:half]), both[half:]))
-    return made
+        yield np.cumsum(both[:half]), both[half:]
 
 
 def document_frequencies(rows: DataFrame, size: int) -> tuple[int, np.ndarray]:
@@ -289,9 +298,11 @@ def document_frequencies(rows: DataFrame, size: int) -> tuple[int, np.ndarray]:
 def example_counts(sample: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
     """Ids and labels of the examples, by id; and their terms and counts end to end, with where each example's start."""
     rows = term_rows(sample, vocabulary, "example-terms", "y").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")]).combine_chunks()
-    made = opened(rows["terms"])
-    terms, counts = (np.concatenate([np.zeros(0, np.int32), *[m[k] for m in made]]).astype(np.int32) for k in (0, 1))
-    return rows["doc_id"].to_numpy().astype(np.int64), rows["y"].to_numpy().astype(np.int64), (terms, counts, np.concatenate(([0], np.cumsum([len(m[0]) for m in made], dtype=np.int64))))
+    made = [[x.astype(np.int32) for x in pair] for pair in opened(rows["terms"])]
+    starts = np.concatenate(([0], np.cumsum([len(m[0]) for m in made], dtype=np.int64)))
+    terms = np.concatenate([np.zeros(0, np.int32), *[m[0] for m in made]])
+    counts = np.concatenate([np.zeros(0, np.int32), *[m[1] for m in made]])
+    return rows["doc_id"].to_numpy().astype(np.int64), rows["y"].to_numpy().astype(np.int64), (terms, counts, starts)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 4096, floor: float = 0.02, full_z: float = 5.0, k: int = 32, power: float = 2.0, folds: int = 5, calibrate: int = 2048) -> DataFrame:
@@ -330,7 +341,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 4096, fl
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
                 part = batch.slice(a, 1024)
-                made = own.score(opened(part.column(1)))
+                made = own.score(list(opened(part.column(1))))
                 near = [[{"doc_id": d, "similarity": s, "label": y} for d, s, y in m[2]] for m in made]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([m[0] for m in made], pa.float64()), pa.array([m[1] for m in made], pa.int32()), pa.array(near, evidence)], ["doc_id", "score", "predicted", "evidence"])
 
