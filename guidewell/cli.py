@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import argparse
 import json
+import sys
 from typing import Any
 
-from guidewell.operators.output import jsonable
 from guidewell.plans.run import run
 
 
@@ -28,19 +28,17 @@ def build_parser() -> argparse.ArgumentParser:
 
 
 def main(argv: list[str] | None = None) -> dict[str, Any]:
+    """Do what the arguments say; the manifest of what was written."""
     from pyspark.sql import SparkSession
 
-    args = vars(build_parser().parse_args(argv))
-    spark = SparkSession.builder.getOrCreate()
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", args["chunk_size"])
-    made = run(args.pop("dataset_path"), spark=spark, **args)
-    if not isinstance(made, dict):
-        raise TypeError("a run with an output folder returns its manifest")
-    return made
+    given = vars(build_parser().parse_args(argv))
+    batch = {"spark.sql.execution.arrow.maxRecordsPerBatch": given["chunk_size"]}
+    return run(given.pop("dataset_path"), spark=SparkSession.builder.config(map=batch).getOrCreate(), **given)
 
 
 def cli(argv: list[str] | None = None) -> None:
-    print(json.dumps(jsonable(main(argv)), indent=2, sort_keys=True))
+    json.dump(main(argv), sys.stdout, indent=2, sort_keys=True)
+    sys.stdout.write("\n")
 
 
 if __name__ == "__main__":

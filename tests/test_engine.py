@@ -165,7 +165,7 @@ def test_a_run_frees_what_it_keeps(spark):
     assert len(out.held) == 0 and scores(out) == rows
 
 
-def test_command_line(spark, tmp_path):
+def test_command_line(spark, tmp_path, capsys):
     rows = [[4, 1, 0], [5, 1, 0], [1, 5, 0], [1, 1, 5], [1, 5, 5]]
     data = from_rows(spark, rows, {"perturbation": ["control", "control", "pertA", "pertB", "pertA+pertB"]}, obs_index=[f"cell_{i}" for i in range(5)], highly_variable=[1, 1, 1])
     write_folder(data, f"{tmp_path}/screen")
@@ -175,6 +175,8 @@ def test_command_line(spark, tmp_path):
     assert set(table[table.obs_index == "cell_4"].perturbation) == {"pertA", "pertB"} and (table[table.perturbation == "control"].ps_score == 0).all()
     got = table[table.perturbation != "control"].ps_score
     assert np.allclose(got, [0.386473, 0.341642, 0.282177, 0.327849], atol=1e-6)
+    cli.cli(["--dataset-path", f"{tmp_path}/screen", "--output-dir", f"{tmp_path}/again", "--perturb-column", "perturbation", "--ctrl-name", "control", "--mode", "multilabel", "--target-mode", "hvg", "--no-scale-score"])
+    assert json.loads(capsys.readouterr().out)["score_count"] == 6
 
 
 def test_json_of_odd_values():
