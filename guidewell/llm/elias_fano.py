@@ -34,8 +34,9 @@ def unpack_bits(words: np.ndarray, width: int, k: np.ndarray) -> np.ndarray:
     return (low | high) & U((1 << width) - 1)
 
 
-def encode(values: np.ndarray) -> dict:
-    """Arrays and sizes of a strictly ascending uint64 sequence: above its first, low bits packed, high bits in unary, and how many zeros stand before each word of these."""
+def encode(values: np.ndarray, sought: bool = True) -> dict:
+    """Arrays and sizes of an ascending uint64 sequence: above its first, low bits packed, high bits in unary, and how many
+    zeros stand before each word of these where values are ``sought`` by :meth:`EliasFano.find`, ones where they are read by place."""
     base = int(values[0]) if len(values) else 0
     values = values - U(base)
     bits = int(values[-1]).bit_length() if len(values) else 0
@@ -48,8 +49,9 @@ def encode(values: np.ndarray) -> dict:
     raw = np.zeros((size + 63) // 64 * 64 + 128, bool)
     raw[ones] = True
     high = np.packbits(raw, bitorder="little").view(U)
-    before = np.concatenate(([0], np.cumsum(64 - np.bitwise_count(high).astype(np.int64))[:-1]))
-    return {"base": base, "n": n, "low_bits": low, "buckets": buckets, "low": pack_bits(values & U((1 << low) - 1), low), "high": high, "zeros": before.astype(np.uint32 if size < 1 << 32 else np.int64)}
+    ones = np.bitwise_count(high).astype(np.int64)
+    before = np.concatenate(([0], np.cumsum(64 - ones if sought else ones)[:-1]))
+    return {"base": base, "n": n, "low_bits": low, "buckets": buckets, "low": pack_bits(values & U((1 << low) - 1), low), "high": high, "before": before.astype(np.uint32 if size < 1 << 32 else np.int64)}
 
 
 def select_in_words(words: np.ndarray, r: np.ndarray) -> np.ndarray:
@@ -64,16 +66,38 @@ def select_in_words(words: np.ndarray, r: np.ndarray) -> np.ndarray:
 
 
 class EliasFano:
-    def __init__(self, base: int, n: int, low_bits: int, buckets: int, low: np.ndarray, high: np.ndarray, zeros: np.ndarray):
-        self.base, self.n, self.low_bits, self.buckets, self.low, self.high, self.zeros = base, n, low_bits, buckets, low, high, zeros
+    def __init__(self, base: int, n: int, low_bits: int, buckets: int, low: np.ndarray, high: np.ndarray, before: np.ndarray):
+        self.base, self.n, self.low_bits, self.buckets, self.low, self.high, self.before = base, n, low_bits, buckets, low, high, before
 
     def _zero(self, k: np.ndarray) -> np.ndarray:
         """Position of the k-th (from 0) zero among the high bits, however long the runs of ones: its word by the counts, then its bit."""
-        word = np.searchsorted(self.zeros, k.astype(self.zeros.dtype), side="right") - 1
-        return (word << 6) + select_in_words(~self.high[word], (k - self.zeros[word]).astype(U))
+        word = np.searchsorted(self.before, k.astype(self.before.dtype), side="right") - 1
+        return (word << 6) + select_in_words(~self.high[word], (k - self.before[word]).astype(U))
 
-    def find(self, values: np.ndarray) -> np.ndarray:
-        """Index of each value, -1 where it is not there: its successor is sought by halves, in its bucket only."""
+    def _one(self, k: np.ndarray) -> np.ndarray:
+        """Position of the k-th (from 0) one among the high bits."""
+        word = np.searchsorted(self.before, k.astype(self.before.dtype), side="right") - 1
+        return (word << 6) + select_in_words(self.high[word], (k - self.before[word]).astype(U))
+
+    def _value(self, k: np.ndarray, at: np.ndarray) -> np.ndarray:
+        high = (at - k).astype(U) << U(self.low_bits)
+        return (high | unpack_bits(self.low, self.low_bits, k) if self.low_bits else high) + U(self.base)
+
+    def access(self, k: np.ndarray) -> np.ndarray:
+        """The values at places ``k`` of a sequence that was encoded to be read by place."""
+        return self._value(k, self._one(k))
+
+    def bounds(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at places ``k`` and at the places after them: of pointers, the range that each names. The next one mostly stands in the same word."""
+        at = self._one(k)
+        rest = self.high[at >> 6] >> (at & 63).astype(U) >> U(1)
+        after = at + 1 + np.bitwise_count((rest & (~rest + U(1))) - U(1))
+        far = np.flatnonzero(rest == 0)
+        after[far] = self._one(k[far] + 1)
+        return self._value(k, at).astype(np.int64), self._value(k + 1, after).astype(np.int64)
+
+    def find(self, values: np.ndarray, within: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """Index of each value, -1 where it is not there: its successor is sought by halves, in its bucket and, if given, ``within`` a range of places."""
         out = np.full(len(values), -1, np.int64)
         if not self.n or not len(values):
             return out
@@ -92,6 +116,8 @@ class EliasFano:
         hi = lo + run
         far = np.flatnonzero(bit + run >= 64)
         hi[far] = self._zero(high[far]) - high[far]
+        if within is not None:
+            lo, hi = np.maximum(lo, within[0][todo]), np.minimum(hi, within[1][todo])
         end = hi.copy()
         open_ = np.flatnonzero(lo < hi)
         while len(open_):

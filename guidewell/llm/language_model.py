@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, cut, file_system, make_dirs, new_path, table
+from .common import WORKER_CACHES, crc_fold, cut, file_system, make_dirs, new_path, table, thrifty
 from .elias_fano import EliasFano, encode
 from .features import coded
 
@@ -17,7 +17,8 @@ END = "\n"
 SCHEMA = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
 SEED, U = 11, np.uint64
 TOP = 256  # most frequent words that each part of the vocabulary reports
-FLUSH = 3_000_000  # trigrams that a task gathers before it sorts and sends them on
+SLICE_BYTES = 4 << 20  # texts of a slice share one look at each of their words
+FLUSH = 2_000_000  # trigrams that a task gathers before it sorts and sends them on
 
 
 # ---- files --------------------------------------------------------------------------------------------------------
@@ -54,13 +55,23 @@ def map_arrays(uri: str) -> tuple[dict[str, np.ndarray], dict]:
     return {k: data[start + at : start + at + m * np.dtype(t).itemsize].view(t) for k, (at, m, t) in head["arrays"].items()}, head
 
 
-def _ef(name: str, values: np.ndarray) -> tuple[dict, list]:
-    e = encode(values)
-    return {f"{name}_{k}": e[k] for k in ("low", "high", "zeros")}, [e[k] for k in ("base", "n", "low_bits", "buckets")]
+def _ef(name: str, values: np.ndarray, sought: bool = True) -> tuple[dict, dict]:
+    e = encode(values, sought)
+    return {f"{name}_{k}": e[k] for k in ("low", "high", "before")}, {name: [e[k] for k in ("base", "n", "low_bits", "buckets")]}
+
+
+def _levels(**levels: tuple[np.ndarray, bool]) -> tuple[dict, dict]:
+    """Arrays and heads of several sequences, each with whether its values are sought or read by place."""
+    arrays, heads = {}, {}
+    for name, (values, sought) in levels.items():
+        a, h = _ef(name, values, sought)
+        arrays |= a
+        heads |= h
+    return arrays, heads
 
 
 def _level(arrays: dict, head: dict, name: str) -> EliasFano:
-    return EliasFano(*head[name], arrays[f"{name}_low"], arrays[f"{name}_high"], arrays[f"{name}_zeros"])
+    return EliasFano(*head[name], arrays[f"{name}_low"], arrays[f"{name}_high"], arrays[f"{name}_before"])
 
 
 def quantised(log10p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,13 +135,17 @@ def _unblob(data: bytes, n_arrays: int) -> list[np.ndarray]:
 
 
 class Vocabulary:
-    """Words by rank of their hash: ``ids`` and exact training ``counts`` from mapped parts."""
+    """Words by rank of their hash, with exact training counts: differences of running sums, which are monotone too."""
 
     def __init__(self, paths: list[str], sizes: list[int]):
         self.offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
         self.size, self.parts = int(self.offsets[-1]), len(paths)
         self.files = [map_arrays(p) for p in paths]
-        self.levels = [_level(a, h, "hash") for a, h in self.files]
+        self.levels, self.sums = ([_level(a, h, name) for a, h in self.files] for name in ("hash", "sum"))
+
+    def counts(self, part: int, k: np.ndarray) -> np.ndarray:
+        lo, hi = self.sums[part].bounds(k)
+        return hi - lo
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
@@ -141,7 +156,7 @@ class Vocabulary:
             k = self.levels[p].find(hashes[own])
             hit = k >= 0
             ids[own[hit]] = k[hit] + self.offsets[p]
-            counts[own[hit]] = self.files[p][0]["count"][k[hit]]
+            counts[own[hit]] = self.counts(p, k[hit])
         return ids, counts
 
 
@@ -170,41 +185,53 @@ class Model:
     def __init__(self, vocabulary: Vocabulary, layout: Layout, paths: list[str], hot_backoff: dict[int, float]):
         self.vocabulary, self.layout = vocabulary, layout
         self.files = [map_arrays(p) for p in paths]
-        self.two = [_level(a, h, "two") for a, h in self.files]
-        self.three = [_level(a, h, "three") for a, h in self.files]
-        self.books = [tuple(10.0 ** a[f"{n}_book"] for n in ("two", "back", "three")) for a, _ in self.files]
+        self.levels = [{name: _level(a, h, name) for name in ("one", "two", "three", "two_at", "three_at")} for a, h in self.files]
+        self.books = [{n: 10.0 ** a[f"{n}_book"] for n in ("one", "two", "back", "three")} for a, _ in self.files]
         self.hot_words = np.array(sorted(hot_backoff), np.int64)
         self.hot_values = np.array([hot_backoff[w] for w in sorted(hot_backoff)])
 
-    def followers(self, w1: np.ndarray, w2: np.ndarray, w3: np.ndarray | None = None):
-        """The discounted P(w2 | w1) (0 where not kept), what (w1, w2) hands to shorter contexts (1 where not kept), and the discounted P(w3 | w1 w2).
-
-        Queries go to each part in order of their keys, so neighbours in the file are looked up together.
-        """
-        n, width = len(w1), U(self.layout.width)
-        p2, back, p3 = np.zeros(n), np.ones(n), np.zeros(n)
-        keys = w1.astype(U) * width + w2.astype(U)
-        order = np.argsort(keys)
+    def _by_part(self, w1: np.ndarray, w2: np.ndarray):
+        """Yield each part with the queries it answers, in order of their words, so neighbours in its file are looked up together."""
+        order = np.argsort(w1.astype(U) * U(self.layout.width) + w2.astype(U))
         part = self.layout.part(w1, w2)[order]
         again = np.argsort(part.astype(np.uint16) if self.layout.parts <= 65536 else part, kind="stable")
         order, part = order[again], part[again]
         ends = np.searchsorted(part, np.arange(self.layout.parts + 1))
         for p in np.flatnonzero(np.diff(ends)).tolist():
-            arrays, books = self.files[p][0], self.books[p]
-            own = order[ends[p] : ends[p + 1]]
-            k = self.two[p].find(keys[own])
+            yield p, order[ends[p] : ends[p + 1]]
+
+    def followers(self, w1: np.ndarray, w2: np.ndarray, w3: np.ndarray):
+        """The discounted P(w2 | w1) (0 where not kept), what (w1, w2) hands to shorter contexts (1 where not kept), and the discounted P(w3 | w1 w2).
+
+        Down the trie: each first word once, by its place; its pointers bound where w2 is sought among its children, by the
+        number of the context; the pointers of the pair bound where w3 is.
+        """
+        n, width = len(w1), U(self.layout.width)
+        p2, back, p3 = np.zeros(n), np.ones(n), np.zeros(n)
+        for p, own in self._by_part(w1, w2):
+            arrays, books, levels = self.files[p][0], self.books[p], self.levels[p]
+            first = np.flatnonzero(np.diff(w1[own], prepend=-1))
+            context = levels["one"].find(w1[own[first]].astype(U))
+            there = context >= 0
+            times = np.diff(np.append(first, len(own)))
+            own = own[np.repeat(there, times)]
+            context, lo, hi = (np.repeat(x, times[there]) for x in (context[there], *levels["two_at"].bounds(context[there])))
+            k = levels["two"].find(context.astype(U) * width + w2[own].astype(U), (lo, hi))
             own, k = own[k >= 0], k[k >= 0]
-            p2[own] = books[0][arrays["two_code"][k]]
-            back[own] = books[1][arrays["back_code"][k]]
-            if w3 is not None and len(own):
-                j = self.three[p].find(k.astype(U) * width + w3[own].astype(U))
-                p3[own[j >= 0]] = books[2][arrays["three_code"][j[j >= 0]]]
+            p2[own] = books["two"][arrays["two_code"][k]]
+            back[own] = books["back"][arrays["back_code"][k]]
+            lo, hi = levels["three_at"].bounds(k)
+            own, k, lo, hi = (x[lo < hi] for x in (own, k, lo, hi))
+            j = levels["three"].find(k.astype(U) * width + w3[own].astype(U), (lo, hi))
+            p3[own[j >= 0]] = books["three"][arrays["three_code"][j[j >= 0]]]
         return p2, back, p3
 
     def backoff(self, w1: np.ndarray) -> np.ndarray:
-        """What each single-word context hands to the unigrams: kept under the pad, of frequent words in a small table."""
-        out = self.followers(w1, np.full(len(w1), self.layout.pad))[0]
-        out[out == 0] = 1.0
+        """What each single-word context hands to the unigrams, 1 where it has no followers: beside its place, of frequent words in a small table."""
+        out = np.ones(len(w1))
+        for p, own in self._by_part(w1, np.full(len(w1), self.layout.pad)):
+            k = self.levels[p]["one"].find(w1[own].astype(U))
+            out[own[k >= 0]] = self.books[p]["one"][self.files[p][0]["one_code"][k[k >= 0]]]
         if len(self.hot_words):
             at = np.minimum(np.searchsorted(self.hot_words, w1), len(self.hot_words) - 1)
             own = self.hot_words[at] == w1
@@ -212,7 +239,7 @@ class Model:
         return out
 
 
-_OPEN: dict[str, object] = {}
+_OPEN: dict[str, object] = WORKER_CACHES.setdefault("models", {})
 
 
 def _opened(key: str, make):
@@ -233,7 +260,7 @@ def _count_words(train: DataFrame, parts: int) -> DataFrame:
     def of(batches):
         keys, counts, docs = [], [], 0
         for batch in batches:
-            for lo, hi, words, codes, _ in coded(batch.column(0), "ascii"):
+            for lo, hi, words, codes, _ in coded(batch.column(0), "ascii", SLICE_BYTES):
                 docs += hi - lo
                 keys.append(word_hashes(words))
                 counts.append(np.bincount(codes, minlength=len(words)).astype(U))
@@ -248,7 +275,7 @@ def _count_words(train: DataFrame, parts: int) -> DataFrame:
             full = np.flatnonzero(np.diff(ends)).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([_blob(k[ends[p] : ends[p + 1]], c[ends[p] : ends[p + 1]]) for p in full], pa.binary())], ["part", "blob"])
 
-    return train.select("text").mapInArrow(of, "part int, blob binary")
+    return train.select("text").mapInArrow(thrifty(of, "models"), "part int, blob binary")
 
 
 def _write_vocabulary(words: DataFrame, base: str, parts: int) -> DataFrame:
@@ -259,8 +286,8 @@ def _write_vocabulary(words: DataFrame, base: str, parts: int) -> DataFrame:
         pairs = [_unblob(b, 2) for b in pdf["blob"]]
         k, c = _summed(np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]))
         path = f"{base}/words-{key[0]:06d}-{TaskContext.get().taskAttemptId()}"
-        arrays, head = _ef("hash", k)
-        write_arrays(path, arrays | {"count": c.astype(np.int64)}, hash=head)
+        arrays, head = _levels(hash=(k, True), sum=(np.concatenate((np.zeros(1, U), np.cumsum(c, dtype=U))), False))
+        write_arrays(path, arrays, **head)
         top = np.argsort(-c.astype(np.int64), kind="stable")[:TOP]
         return pd.DataFrame({"part": [key[0]], "path": [path], "n": [len(k)], "tokens": [int(c.sum())], "top": [top.tolist()], "top_count": [c[top].astype(np.int64).tolist()]})
 
@@ -296,7 +323,7 @@ def _count_trigrams(train: DataFrame, vocabulary_of, layout: Layout) -> DataFram
             return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([_blob(pair[ends[p] : ends[p + 1]], c[ends[p] : ends[p + 1]], times[ends[p] : ends[p + 1]]) for p in full], pa.binary())], ["part", "blob"])
 
         for batch in batches:
-            for lo, hi, words, codes, starts in coded(batch.column(0), "ascii"):
+            for lo, hi, words, codes, starts in coded(batch.column(0), "ascii", SLICE_BYTES):
                 ids = vocabulary.find(word_hashes(words))[0]
                 stream, _ = _stream(ids[codes] if len(codes) else codes, starts, layout.start, end, layout.pad)
                 a, b, c = stream[:-2], stream[1:-1], stream[2:]
@@ -308,7 +335,7 @@ def _count_trigrams(train: DataFrame, vocabulary_of, layout: Layout) -> DataFram
         if n:
             yield flush()
 
-    return train.select("text").mapInArrow(of, "part int, blob binary")
+    return train.select("text").mapInArrow(thrifty(of, "models"), "part int, blob binary")
 
 
 def _stream(ids: np.ndarray, starts: np.ndarray, begin: int, end: int, pad: int) -> tuple[np.ndarray, np.ndarray]:
@@ -349,23 +376,20 @@ def _write_tries(grams: DataFrame, base: str, layout: Layout, context_count, kee
         p2 = (c2 - discount) / np.maximum(total[at], 1)
         mass = np.bincount(at[kept], weights=p2[kept], minlength=len(words))
         hot = np.isin(words, layout.hot)
-        single = np.clip(1 - mass, 1e-9, 1)
-        show = ~hot & (mass > 0)
-        # the trie: pairs kept, and one pad entry for what a word hands on, in one ascending level
-        two = np.concatenate([pairs[kept], words[show].astype(U) * width + U(layout.pad)])
-        value = np.concatenate([np.log10(p2[kept]), np.log10(single[show])])
-        hand = np.concatenate([np.log10(np.clip(back[kept], 1e-9, 1)), np.zeros(int(show.sum()))])
-        order = np.argsort(two)
-        two, value, hand = two[order], value[order], hand[order]
-        node = np.searchsorted(two, pairs)  # of kept pairs
+        # the levels: first words that keep followers; their followers by the word's place; what follows those by the pair's
+        there = mass > 0
+        place = np.cumsum(there) - 1
+        two = place[at[kept]].astype(U) * width + pairs[kept] % width
+        node = np.cumsum(kept) - 1
         three = node[of_pair[good]].astype(U) * width + third[good]
-        arrays, head2 = _ef("two", two)
-        more, head3 = _ef("three", three)
-        arrays |= more
-        for name, x in (("two", value), ("back", hand), ("three", np.log10(p3))):
+        pointers = lambda parents, n: np.concatenate(([0], np.cumsum(np.bincount(parents, minlength=n)))).astype(U)
+        n_one, n_two = int(there.sum()), int(kept.sum())
+        arrays, head = _levels(one=(words[there].astype(U), True), two=(two, True), three=(three, True), two_at=(pointers(place[at[kept]], n_one), False), three_at=(pointers(node[of_pair[good]], n_two), False))
+        log = lambda x: np.log10(np.clip(x, 1e-9, 1))
+        for name, x in (("one", log(1 - mass[there])), ("two", np.log10(p2[kept])), ("back", log(back[kept])), ("three", np.log10(p3))):
             arrays[f"{name}_code"], arrays[f"{name}_book"] = quantised(x)
         path = f"{base}/grams-{key[0]:06d}-{TaskContext.get().taskAttemptId()}"
-        write_arrays(path, arrays, two=head2, three=head3)
+        write_arrays(path, arrays, **head)
         return pd.DataFrame({"part": [key[0]], "path": [path], "pairs": [len(two)], "triples": [len(three)], "hot": [words[hot].tolist()], "mass": [mass[hot].tolist()]})
 
     return grams.groupBy("part").applyInPandas(merge, "part int, path string, pairs long, triples long, hot array<long>, mass array<double>")
@@ -401,8 +425,8 @@ def train_and_score(docs: DataFrame, folds: int = 10, keep: int = 2, discount: f
     manifest = {r["part"]: r for r in cut(_write_vocabulary(_count_words(train, parts), base, parts), "lm-words").collect()}
     tokens = sum(r["tokens"] for r in manifest.values())
     empty = f"{base}/none"
-    arrays, head = _ef("hash", np.zeros(0, U))
-    write_arrays(empty, arrays | {"count": np.zeros(0, np.int64)}, hash=head)
+    arrays, head = _levels(hash=(np.zeros(0, U), True), sum=(np.zeros(1, U), False))
+    write_arrays(empty, arrays, **head)
     paths = [manifest[p]["path"] if p in manifest else empty for p in range(parts)]
     sizes = [manifest[p]["n"] if p in manifest else 0 for p in range(parts)]
     offsets = np.concatenate(([0], np.cumsum(sizes)))
@@ -425,7 +449,7 @@ def train_and_score(docs: DataFrame, folds: int = 10, keep: int = 2, discount: f
         found = np.zeros(len(part), np.int64)
         for p in np.unique(part).tolist():
             mine = part == p
-            found[mine] = vocabulary.files[p][0]["count"][words[own][mine] - vocabulary.offsets[p]]
+            found[mine] = vocabulary.counts(p, words[own][mine] - vocabulary.offsets[p])
         out[own] = found
         return out
 
@@ -433,9 +457,10 @@ def train_and_score(docs: DataFrame, folds: int = 10, keep: int = 2, discount: f
     if tokens:
         found = cut(_write_tries(_count_trigrams(train, open_vocabulary, layout), base, layout, context_count, keep, discount), "lm-grams").collect()
         none = f"{base}/no-grams"
-        a2, h2 = _ef("two", np.zeros(0, U))
-        a3, h3 = _ef("three", np.zeros(0, U))
-        write_arrays(none, a2 | a3 | {f"{n}_{k}": v for n in ("two", "back", "three") for k, v in zip(("code", "book"), quantised(np.zeros(0)), strict=True)}, two=h2, three=h3)
+        blank, start = np.zeros(0, U), np.zeros(1, U)
+        arrays, head = _levels(one=(blank, True), two=(blank, True), three=(blank, True), two_at=(start, False), three_at=(start, False))
+        codes = {f"{n}_{k}": v for n in ("one", "two", "back", "three") for k, v in zip(("code", "book"), quantised(np.zeros(0)), strict=True)}
+        write_arrays(none, arrays | codes, **head)
         by = {r["part"]: r["path"] for r in found}
         grams = [by.get(p, none) for p in range(parts)]
         mass: dict[int, float] = {}
@@ -451,7 +476,7 @@ def train_and_score(docs: DataFrame, folds: int = 10, keep: int = 2, discount: f
         model = open_model() if tokens else None
         end = vocabulary.find(word_hashes([END])) if tokens else None
         for batch in batches:
-            for lo, hi, words, codes, starts in coded(batch.column(1), "ascii"):
+            for lo, hi, words, codes, starts in coded(batch.column(1), "ascii", SLICE_BYTES):
                 n = np.diff(starts) + 1
                 if not tokens:
                     made = [n, np.zeros_like(n), np.zeros_like(n), n * unknown, n * unknown]
@@ -486,7 +511,7 @@ def train_and_score(docs: DataFrame, folds: int = 10, keep: int = 2, discount: f
                     made = [n, total(c[this] > 0).astype(np.int64), np.full(hi - lo, tokens), total(one[this]), total(np.log10(p))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *map(pa.array, made)], ["doc_id", *[f.split()[0] for f in SCHEMA.split(", ")]])
 
-    out = rows.mapInArrow(score, f"doc_id long, {SCHEMA}")
+    out = rows.mapInArrow(thrifty(score, "models"), f"doc_id long, {SCHEMA}")
     return out.select("doc_id", (crc_fold("doc_id", folds) == 0).alias("held_out"), *[f.split()[0] for f in SCHEMA.split(", ")])
 
 

@@ -234,7 +234,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = 2048, dim
     n, found = document_frequencies(texts, size)
     idf = np.log((1 + n) / (1 + found)) + 0.3
     numbers = lambda c: known[c].to_numpy().astype(np.int64)
-    model = QualityModel(idf, np.append(word, np.zeros(N_STEPS, bool)), numbers("doc_id"), numbers("y"), (numbers("n"), opened(known["terms"])), totals, dims, k, power)
+    model = QualityModel(idf, np.append(word, np.zeros(N_STEPS, bool)), numbers("doc_id"), numbers("y"), (numbers("n"), list(opened(known["terms"]))), totals, dims, k, power)
     del known, vocabulary
     release()
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -245,7 +245,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = 2048, dim
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
                 part = batch.slice(a, 1024)
-                score, near, sims = own.score((part.column(1).to_numpy(), opened(part.column(2))))
+                score, near, sims = own.score((part.column(1).to_numpy(), list(opened(part.column(2)))))
                 who = [[{"doc_id": int(own.ids[i]), "similarity": float(s), "label": int(own.y[i])} for i, s in zip(x[:3], v[:3], strict=True)] for x, v in zip(near, sims, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(who, near_type)], ["doc_id", "score", "predicted", "neighbours"])
 
