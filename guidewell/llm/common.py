@@ -54,9 +54,12 @@ def drop(df: DataFrame) -> None:
     """Delete a table that :func:`cut` wrote, once nothing reads it any more."""
     path = getattr(df, "cut_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+        remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 #: Tables of one long a row are broadcast up to so many rows (about 24 MB where they are held); larger ones are joined by exchange.

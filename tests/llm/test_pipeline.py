@@ -52,6 +52,19 @@ def test_near_copies_leave_one(spark):
     assert len(kept) < 100 and {r["doc_id"] for r in out.collect()} == kept
 
 
+def test_crowded_groups_are_dealt_anew(spark):
+    """A hundred copies with a few words changed each, and others, linked the same with a limit of five to a group."""
+    from guidewell.llm.components import components
+    from guidewell.llm.near_copies import near_copies
+
+    base = [f"w{i * 37 % 211}" for i in range(300)]
+    rows = [(i, " ".join(f"z{i}-{k}" if (k * 31 + i * 17) % 97 < i % 3 else w for k, w in enumerate(base))) for i in range(100)]
+    rows += [(200 + i, " ".join(f"v{i}-{k}" for k in range(60))) for i in range(10)] + [(300, None), (301, ""), (302, "a b"), (303, "A b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [{(r.node, r.component) for r in components(near_copies(docs, crowd=crowd)).collect()} for crowd in (5, 4096)]
+    assert found[0] == found[1] and (303, 302) in found[0] and len(found[0]) > 60
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 def test_columns_of_any_name_pass_through(spark):
     """Names that operators give to their own columns, in every stage but the last."""
