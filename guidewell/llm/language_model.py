@@ -17,7 +17,7 @@ END = "\n"
 SCHEMA = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
 SEED, U = 11, np.uint64
 TOP = 256  # most frequent words that each part of the vocabulary reports
-SLICE_BYTES = 4 << 20  # texts of a slice share one look at each of their words
+SLICE_BYTES = 6 << 20  # texts of a slice share one look at each of their words
 FLUSH = 2_000_000  # trigrams that a task gathers before it sorts and sends them on
 
 
@@ -404,8 +404,8 @@ def train_and_score(docs: DataFrame, folds: int = 10, keep: int = 2, discount: f
     context hands on. All counts are exact and over all training texts; a word is known by its 64-bit hash.
 
     Each task sorts and sums what it has read and sends each part one compressed run; a part's runs are merged, pruned and
-    written as one file of Elias-Fano levels (pairs, then triples by the pair's number) with one-byte probabilities. Parts
-    are as many as shuffle partitions; followers of a frequent word are dealt over several. Scoring maps the files; the
+    written as one file of levels: first words, their followers by the word's place, and those of pairs by the pair's, as
+    Elias-Fano sequences with one-byte probabilities, and monotone pointers from each level into the next. Parts are as many as shuffle partitions; followers of a frequent word are dealt over several. Scoring maps the files; the
     driver sees their names, sizes and at most 256 word counts a part. Files lie in the shared folder, under names of
     the attempt that wrote them, and only those in the manifest count.
 
