@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table, thrifty
-from .tokens import encoder, with_end
+from .tokens import REMEMBERED, SLICE_BYTES, encoder, with_end
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -125,13 +125,14 @@ def pack(totals: np.ndarray, window: int) -> tuple[np.ndarray, int]:
     return np.concatenate(pieces), n_seq
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = 1024, block_tokens: int = 4_000_000) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = 1024, block_tokens: int = 4_000_000, remembered: int = REMEMBERED, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Pieces of all documents in sequences of at most ``window`` tokens: SCHEMA, ``ids`` as little-endian unsigned 32-bit integers.
 
     ``docs`` has doc_id and text. A document is its ids and then ``end_id``. Each task packs its documents in blocks of
     about ``block_tokens``, each block with its own histogram and solution, so there is no exchange, no driver step, and
     memory is one block; a lost task is simply run again. Sequence ids are unique (task, then number in the task), and
-    offsets in a sequence have no gaps. Sequences are full, or end at a power of two, which is not padded.
+    offsets in a sequence have no gaps. Sequences are full, or end at a power of two, which is not padded. ``remembered`` words
+    and ``slice_bytes`` of text at a time set the worker's memory against speed; ids are the same.
 
     Null and empty texts: the end id alone. Null ids stay null. Repeated rows are documents of their own. Very long texts
     fill as many windows as they need. An empty table gives no rows. Other columns are ignored.
@@ -161,13 +162,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int
             own += n_seq
 
         for batch in batches:
-            for k in range(0, len(batch), 1000):
-                part = batch.slice(k, 1000)
-                flat, counts = with_end(*encoder(tokenizer, True).encode(part.column(1)), end_id)
-                held.append((part.column(0), flat, counts))
-                tokens += len(flat)
-                if tokens >= block_tokens:
-                    yield from flush()
+            flat, counts = with_end(*encoder(tokenizer, True, remembered, slice_bytes).encode(batch.column(1)), end_id)
+            held.append((batch.column(0), flat, counts))
+            tokens += len(flat)
+            if tokens >= block_tokens:
+                yield from flush()
         if held:
             yield from flush()
 

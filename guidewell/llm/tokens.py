@@ -13,9 +13,9 @@ import pyarrow.compute as pc
 from .common import WORKER_CACHES
 
 #: Words and stems a worker remembers before it starts afresh (about 150 bytes each).
-REMEMBERED = 200_000
+REMEMBERED = 700_000
 #: Text is handled in slices of about so many bytes, so memory does not depend on the batch.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 6 << 20
 #: Marks at the end of a word; both vocabularies cut between a letter and these.
 _TAIL = re.compile(r"[.,;:!?]+\Z")
 #: A space that follows white space: there the cut before a space is no cut of the tokenizer.
@@ -64,11 +64,12 @@ class Encoder:
     whole texts. Vocabularies of at most 65,536 ids.
     """
 
-    def __init__(self, path: str, spaces: bool):
+    def __init__(self, path: str, spaces: bool, remembered: int = REMEMBERED, slice_bytes: int = SLICE_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core, and each thread would keep memory of its own
         from tokenizers import Tokenizer
 
         self.tokenizer, self.spaces = Tokenizer.from_file(path), spaces
+        self.remembered, self.slice_bytes = remembered, slice_bytes
         self.model = self.tokenizer.model
         if self.tokenizer.get_vocab_size() > 65_536:
             raise ValueError("a vocabulary of at most 65,536 ids is needed")
@@ -137,7 +138,7 @@ class Encoder:
         return local.gather(codes)
 
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self.known, self.ids = {}, _Ids()
         texts = pc.fill_null(texts, "")
         if not self.spaces:
@@ -174,20 +175,21 @@ class Encoder:
         texts = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
         if not len(texts):
             return np.zeros(0, np.uint16), np.zeros(0, np.int64)
-        at = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) // SLICE_BYTES
+        at = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) // self.slice_bytes
         cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(texts)]
         done = [self._slice(texts.slice(a, b - a)) for a, b in zip(cuts, cuts[1:], strict=False)]
         return np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
 
 
-_ENCODERS: dict[tuple[str, bool], Encoder] = WORKER_CACHES.setdefault("tokens", {})
+_ENCODERS: dict[tuple, Encoder] = WORKER_CACHES.setdefault("tokens", {})
 
 
-def encoder(path: str, spaces: bool) -> Encoder:
+def encoder(path: str, spaces: bool, remembered: int = REMEMBERED, slice_bytes: int = SLICE_BYTES) -> Encoder:
     """The worker's encoder for a vocabulary file; it keeps what it has seen from task to task."""
-    if (path, spaces) not in _ENCODERS:
-        _ENCODERS[path, spaces] = Encoder(path, spaces)
-    return _ENCODERS[path, spaces]
+    key = path, spaces, remembered, slice_bytes
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(*key)
+    return _ENCODERS[key]
 
 
 def with_end(flat: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
