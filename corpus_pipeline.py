@@ -62,7 +62,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 1024 tokens."""
     bounded_batches(spark)
-    return digest(pack_documents(docs, tokenizer_path(), remembered=200_000, slice_bytes=2 << 20))  # the stages before leave an executor less memory
+    return digest(pack_documents(docs, tokenizer_path(), remembered=200_000, slice_bytes=1 << 20))  # the stages before leave an executor less memory
 
 
 STAGES = [

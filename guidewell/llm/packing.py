@@ -161,12 +161,24 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
             own += n_seq
 
-        for batch in batches:
-            flat, counts = with_end(*encoder(tokenizer, True, remembered, slice_bytes).encode(batch.column(1)), end_id)
-            held.append((batch.column(0), flat, counts))
+        waiting: list = []
+
+        def encode():
+            nonlocal tokens, waiting
+            keys, texts = (pa.concat_arrays([b.column(k) for b in waiting]) for k in (0, 1))
+            waiting = []
+            flat, counts = with_end(*encoder(tokenizer, True, remembered, 2 * slice_bytes).encode(texts), end_id)
+            held.append((keys, flat, counts))
             tokens += len(flat)
+
+        for batch in batches:  # texts that are encoded together share one look at each of their words
+            waiting.append(batch)
+            if sum(b.nbytes for b in waiting) >= slice_bytes:
+                encode()
             if tokens >= block_tokens:
                 yield from flush()
+        if waiting:
+            encode()
         if held:
             yield from flush()
 

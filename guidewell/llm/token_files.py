@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, file_system, make_dirs, new_path, table
-from .tokens import encoder, with_end
+from .tokens import SLICE_BYTES, encoder, with_end
 
 MAGIC = b"GWWM0001"
 #: Bits in a block of a plane: what one lookup reads and inflates.
@@ -197,14 +197,24 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, spaces: bool
             seq, held, tokens = seq + 1, [], 0
             return row
 
-        for batch in batches:
-            for k in range(0, len(batch), 1000):
-                piece = batch.slice(k, 1000)
-                flat, counts = with_end(*encoder(tokenizer, spaces).encode(piece.column(1)), end_id)
-                held.append((piece.column(0), flat, counts))
-                tokens += len(flat)
-                if tokens >= shard_tokens:
-                    yield flush()
+        waiting: list = []
+
+        def encode():
+            nonlocal tokens, waiting
+            keys, texts = (pa.concat_arrays([b.column(k) for b in waiting]) for k in (0, 1))
+            waiting = []
+            flat, counts = with_end(*encoder(tokenizer, spaces, slice_bytes=2 * SLICE_BYTES).encode(texts), end_id)
+            held.append((keys, flat, counts))
+            tokens += len(flat)
+
+        for batch in batches:  # texts that are encoded together share one look at each of their words
+            waiting.append(batch)
+            if sum(b.nbytes for b in waiting) >= SLICE_BYTES:
+                encode()
+            if tokens >= shard_tokens:
+                yield flush()
+        if waiting:
+            encode()
         if held:
             yield flush()
 

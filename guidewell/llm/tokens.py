@@ -15,7 +15,7 @@ from .common import WORKER_CACHES
 #: Words and stems a worker remembers before it starts afresh (about 150 bytes each).
 REMEMBERED = 700_000
 #: Text is handled in slices of about so many bytes, so memory does not depend on the batch.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 8 << 20
 #: Marks at the end of a word; both vocabularies cut between a letter and these.
 _TAIL = re.compile(r"[.,;:!?]+\Z")
 #: A space that follows white space: there the cut before a space is no cut of the tokenizer.
@@ -80,7 +80,7 @@ class Encoder:
     def _letters(self, stem: str) -> bool:
         """Whether the tokenizer sees letters alone in the stem, its leading space aside; İ, say, lower-cases to a letter and a mark."""
         word = stem[1:] if self.spaces and stem[:1] == " " else stem
-        return word.isalpha() and (self.spaces or word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+        return word.isalpha() and (self.spaces or word.isascii() or max(word) < "\u0130" or unicodedata.normalize("NFC", word).lower().isalpha())
 
     def _number(self, pieces: list[str]) -> np.ndarray:
         """The number of each piece: encoded now if it is new. A piece is a stem and a tail; -1 for no tail."""
@@ -89,7 +89,7 @@ class Encoder:
         out[:, 1] = -1
         for k, piece in enumerate(pieces):
             n = known.get(piece)
-            if n is None and not piece.isalpha() and (m := _TAIL.search(piece)) and self._letters(stem := piece[: m.start()]):
+            if n is None and not piece.isalpha() and (m := _TAIL.search(piece)) and ((stem := piece[: m.start()]).isascii() and stem.isalpha() or self._letters(stem)):
                 t = known.get(tail := m[0])
                 if t is None:
                     t = known[tail] = len(known)
