@@ -39,7 +39,7 @@ def alike(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["ps_score_multilabel_background", "target_metadata", "effect_grams", "long_table"])
+@pytest.mark.parametrize("name", ["ps_score_multilabel_background", "target_metadata", "effect_grams", "long_table", "ps_score_multilabel"])
 def test_query_equals_sql_without_target_genes(spark, alike, name):
     import duckdb
 
