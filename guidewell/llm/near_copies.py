@@ -21,7 +21,7 @@ def _shingles(words, codes, starts, size: int) -> tuple[np.ndarray, np.ndarray,
     n, owner = np.diff(starts), owners(starts)
     made = np.zeros(max(0, len(h) - size + 1), U)
     for j in range(size):
-        made = _mix(made * U(0x9E3779B97F4A7C15) + h[j : len(h) - size + 1 + j])
+        made = _mix(made * U(0x9E3779B97F4A7C15) + h[j : j + len(made)])
     flat = made[np.arange(len(made)) + size <= starts[owner[: len(made)] + 1]]
     key = np.fromiter((xxh64_intdigest(h[a:b].tobytes()) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)), U, len(n))
     count = np.maximum(n - size + 1, 0)

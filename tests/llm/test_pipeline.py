@@ -99,3 +99,14 @@ def test_near_duplicates_equal_brute_force(spark):
         kept.add(min(group))
     out = corpus_pipeline.near_duplicates(spark, docs, SF)
     assert {r.doc_id for r in out.collect()} == kept and out.count() == len(kept) < len(rows)
+
+
+def test_a_batch_of_fewer_words_than_a_shingle(spark):
+    from guidewell.llm.near_copies import near_copies
+
+    for n in range(7):
+        words = " ".join("abcdefg"[:n])
+        docs = spark.createDataFrame([(1, words)], "doc_id long, text string")
+        assert near_copies(docs).isEmpty(), n
+        docs = spark.createDataFrame([(1, words), (2, words.upper())], "doc_id long, text string").coalesce(1)
+        assert [(r.u, r.v) for r in near_copies(docs).collect()] == ([(2, 1)] if n else []), n
