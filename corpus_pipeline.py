@@ -14,9 +14,13 @@ from guidewell.llm.quality_rules import quality_rules
 from guidewell.llm.simhash import simhash_components
 from guidewell.llm.toxicity import score_toxicity
 
+#: The stages share their executors, whose JVM never gives memory back: batches, and what either side makes of one, are smaller than where an operator runs alone.
+BATCH_BYTES = "1m"
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are predicted toxic go. A document without an id cannot be told from others and stays."""
+    bounded_batches(spark, BATCH_BYTES)
     scored = score_toxicity(docs, table(spark, sf_dir, "labels"))
     toxic = cut(scored.where("predicted = 1 and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct(), "toxic-ids")
     return docs.join(near_or_exchanged(toxic), F.col("doc_id") == F.col("__id"), "left_anti")
@@ -30,7 +34,7 @@ def _set_aside(docs: DataFrame, *read: str) -> tuple[DataFrame, list]:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    bounded_batches(spark)
+    bounded_batches(spark, BATCH_BYTES)
     plain, back = _set_aside(docs, "text")
     return quality_rules(plain).where("kept").select(*back)
 
@@ -39,6 +43,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of near copies (Jaccard similarity of five-word shingles of 0.8 or more, or a link between
     SimHash fingerprints of five-word shingles), joined by links, the document with the least id stays; of repeated ids one row stays, the least by its other columns;
     documents without an id link with nothing and stay."""
+    bounded_batches(spark, BATCH_BYTES)
     found = cut(simhash_components(docs.select("doc_id", "text"), size=5).select(F.col("doc_id").alias("u"), F.col("component_id").alias("v")), "fingerprint-links")
     edges = near_copies(docs.select("doc_id", "text"))
     gone = cut(components(found.where("u <> v").unionByName(edges)).select(F.col("node").alias("__id")), "copy-ids")
@@ -61,7 +66,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 1024 tokens."""
-    bounded_batches(spark)
+    bounded_batches(spark, BATCH_BYTES)
     return digest(pack_documents(docs, tokenizer_path(), remembered=200_000, slice_bytes=1 << 20))  # the stages before leave an executor less memory
 
 

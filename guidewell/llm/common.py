@@ -19,10 +19,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH_BYTES = "4m"
 
 
-def bounded_batches(spark: SparkSession) -> None:
+def bounded_batches(spark: SparkSession, size: str = BATCH_BYTES) -> None:
+    """Batches of ``size`` where the session leaves it unset, or has what operators set by themselves."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, None) is None:
-        spark.conf.set(key, BATCH_BYTES)
+    if spark.conf.get(key, None) in (None, BATCH_BYTES):
+        spark.conf.set(key, size)
 
 
 def shared_dir(spark: SparkSession) -> str:

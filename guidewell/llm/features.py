@@ -52,7 +52,9 @@ def examples(docs: DataFrame, labels: DataFrame, label: str, per_class: int, fol
     known = known.where(crc_fold("doc_id", folds) != 0).groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most")
     totals = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     chosen = [r for y in (0, 1) for r in known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).select("doc_id", "y").collect()]
-    ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["y"]) for r in chosen], "ex_id long, y int")
+    # from Arrow: rows of Python would pass through workers of another kind, which stay beside those of the operators
+    ids = pa.table({"ex_id": pa.array([r["doc_id"] for r in chosen], pa.int64()), "y": pa.array([r["y"] for r in chosen], pa.int32())})
+    ids = docs.sparkSession.createDataFrame(ids)
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), F.col("doc_id") == F.col("ex_id"))
     # copies of one text are one example: they would pass for independent evidence
     one = found.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.min("y").alias("y"), F.max("y").alias("most")).where("y = most")

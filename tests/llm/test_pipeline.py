@@ -101,6 +101,42 @@ def test_near_duplicates_equal_brute_force(spark):
     assert {r.doc_id for r in out.collect()} == kept and out.count() == len(kept) < len(rows)
 
 
+def test_examples_need_no_rows_of_python(spark, monkeypatch):
+    """Such rows start workers of a second kind, which hold an executor's memory beside the operators' own."""
+    from pyspark.core.rdd import PipelinedRDD
+
+    from guidewell.llm.features import examples
+
+    docs = spark.range(40).selectExpr("id as doc_id", "concat('text ', id) as text")
+    labels = spark.range(40).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
+    made, first = [], PipelinedRDD.__init__
+    monkeypatch.setattr(PipelinedRDD, "__init__", lambda self, *a, **b: made.append(a) or first(self, *a, **b))
+    found, totals = examples(docs, labels, "toxic", 8)
+    rows = found.collect()
+    assert len(rows) == 16 and {(r.y, r.text) for r in rows} == {(r.doc_id % 2, f"text {r.doc_id}") for r in rows} and sum(totals.values()) > 16
+    assert found.dtypes == [("doc_id", "bigint"), ("text", "string"), ("y", "int")]
+    assert examples(docs, labels.where("false"), "toxic", 8)[0].isEmpty()
+    assert not made
+
+
+def test_stages_send_small_batches(spark):
+    """One megabyte at a time, also after an operator has set its own size; a size that the session names stays."""
+    from guidewell.llm.common import bounded_batches
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for name, stage in corpus_pipeline.STAGES:
+        if name in ("toxicity", "mixing"):  # the one sets it as the others do but needs labels, the other has no Python
+            continue
+        for before, after in ((None, "1m"), ("4m", "1m"), ("3m", "3m")):
+            session = spark.newSession()
+            if before == "4m":
+                bounded_batches(session)
+            elif before:
+                session.conf.set(key, before)
+            stage(session, session.createDataFrame([(1, "a b c", "x")], "doc_id long, text string, source string"), SF)
+            assert session.conf.get(key) == after, (name, before)
+
+
 def test_a_batch_of_fewer_words_than_a_shingle(spark):
     from guidewell.llm.near_copies import near_copies
 
